@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, decontaminate, line_dedup, url_filter
+from tidelog.llm import chat, decontaminate, line_dedup, minhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_url_filter, op7_chat_format, op9_decontaminate)}
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_url_filter, op7_chat_format, op9_decontaminate, op10_minhash_dedup)}
 
 _EDGE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _KEY = f"translate(trim(line, {_EDGE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
