@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, decontaminate, language, line_dedup, minhash, toxicity, url_filter, vector_dedup
+from tidelog.llm import chat, decontaminate, html_text, language, line_dedup, minhash, toxicity, url_filter, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
@@ -73,7 +78,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_toxicity, op4_language, op5_vector_dedup, op6_url_filter, op7_chat_format, op9_decontaminate, op10_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_line_dedup, op3_toxicity, op4_language, op5_vector_dedup, op6_url_filter, op7_chat_format, op9_decontaminate, op10_minhash_dedup)}
 
 _EDGE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _KEY = f"translate(trim(line, {_EDGE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
