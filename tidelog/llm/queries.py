@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, decontaminate, html_text, language, line_dedup, minhash, toxicity, url_filter, vector_dedup
+from tidelog.llm import chat, decontaminate, html_text, language, line_dedup, minhash, mixing, toxicity, url_filter, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,20 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Wanted token shares of the labelled quality classes: fixed values.
+MIX_WEIGHTS = {"0": 0.05, "1": 0.95}
+
+
+def quality_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table: each labelled document's quality class is its domain."""
+    return _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("domain"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, quality_domains(spark, sf_dir), MIX_WEIGHTS).select("doc_id", "source", "n_tokens", "posterior", "rate", "n_copies")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
@@ -78,7 +92,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_line_dedup, op3_toxicity, op4_language, op5_vector_dedup, op6_url_filter, op7_chat_format, op9_decontaminate, op10_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_line_dedup, op3_toxicity, op4_language, op5_vector_dedup, op6_url_filter, op7_chat_format, op8_mixing, op9_decontaminate, op10_minhash_dedup)}
 
 _EDGE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _KEY = f"translate(trim(line, {_EDGE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
