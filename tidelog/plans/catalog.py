@@ -1,4 +1,677 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the reference's own operators, and their SQL.
+
+Names follow the operator inventory. Each query reads whole tables; limits stand only
+where they are the feature (pages, existence).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.operators import history, kv_log, metering, monitoring, sessions, sharding
+from tidelog.sources import views
+from tidelog.sources.views import NOW, sql
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(text: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if text:
+            ORACLE[f.__name__] = text
+        return f
+
+    return add
+
+
+# ---- A: key-value state -----------------------------------------------------------------------------------------------
+
+_FOLD = sql("oplog", recursive=True) + """,
+    ops AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY log_index) AS n FROM oplog {where}),
+    fold AS (
+        SELECT key, n, log_index, group_id,
+            CASE op WHEN 'set' THEN value WHEN 'cas' THEN CASE WHEN expected IS NULL THEN value END WHEN 'incr' THEN delta::VARCHAR END AS v,
+            CASE WHEN op = 'cas' THEN expected IS NULL ELSE true END AS applied,
+            CASE op WHEN 'incr' THEN delta::VARCHAR END AS shown, NULL::VARCHAR AS error
+        FROM ops WHERE n = 1
+        UNION ALL
+        SELECT o.key, o.n, o.log_index, o.group_id,
+            CASE o.op WHEN 'set' THEN o.value WHEN 'delete' THEN NULL
+                WHEN 'cas' THEN CASE WHEN f.v IS NOT DISTINCT FROM o.expected THEN o.value ELSE f.v END
+                ELSE CASE WHEN f.v = 'word' THEN f.v WHEN coalesce(f.v, '0')::HUGEINT + o.delta BETWEEN -9223372036854775808 AND 9223372036854775807 THEN (coalesce(f.v, '0')::HUGEINT + o.delta)::VARCHAR ELSE f.v END END,
+            CASE o.op WHEN 'cas' THEN f.v IS NOT DISTINCT FROM o.expected
+                WHEN 'incr' THEN CASE WHEN f.v = 'word' THEN false ELSE coalesce(f.v, '0')::HUGEINT + o.delta BETWEEN -9223372036854775808 AND 9223372036854775807 END ELSE true END,
+            CASE WHEN o.op = 'incr' THEN CASE WHEN f.v = 'word' THEN NULL WHEN coalesce(f.v, '0')::HUGEINT + o.delta BETWEEN -9223372036854775808 AND 9223372036854775807 THEN (coalesce(f.v, '0')::HUGEINT + o.delta)::VARCHAR END END,
+            CASE WHEN o.op = 'incr' THEN CASE WHEN f.v = 'word' THEN 'not_integer' WHEN coalesce(f.v, '0')::HUGEINT + o.delta NOT BETWEEN -9223372036854775808 AND 9223372036854775807 THEN 'overflow' END END
+        FROM fold f JOIN ops o ON o.key = f.key AND o.n = f.n + 1),
+    state AS (SELECT group_id, key, v AS value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC) AS last FROM fold) WHERE last = 1 AND v IS NOT NULL)"""
+_ALL = _FOLD.format(where="")
+
+
+def _text(column: str):
+    return F.decode(column, "UTF-8")
+
+
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv_log.final_state(views.oplog(spark, sf_dir))
+
+
+@query(_ALL + " SELECT group_id, key, value FROM state")
+def kv_fold_final_state(spark, sf_dir):
+    return _state(spark, sf_dir).select("group_id", "key", _text("value").alias("value"))
+
+
+@query(_ALL + " SELECT group_id, key, log_index, applied, shown AS value, error FROM fold")
+def kv_apply_results(spark, sf_dir):
+    out = kv_log.apply_results(views.oplog(spark, sf_dir))
+    return out.select("group_id", "key", "log_index", "applied", _text("value").alias("value"), "error")
+
+
+@query(_ALL + " SELECT key, value FROM state WHERE key = 't:tn1:u1'")
+def kv_get(spark, sf_dir):
+    key = "t:tn1:u1"
+    log = views.oplog(spark, sf_dir).where(F.col("key") == key)  # only that key's log is folded
+    return kv_log.get(kv_log.final_state(log), key).select("key", _text("value").alias("value"))
+
+
+@query(_ALL + " SELECT k.key, s.key IS NOT NULL AS found FROM (SELECT DISTINCT key FROM oplog) k LEFT JOIN state s USING (key)")
+def kv_exists(spark, sf_dir):
+    log = views.oplog(spark, sf_dir)
+    return kv_log.exists(kv_log.final_state(log), log.select("key").distinct()).select("key", "found")
+
+
+@query(
+    sql("oplog") + """, w AS (SELECT group_id, key, arg_max(op, log_index) AS op, arg_max(value, log_index) AS value FROM oplog WHERE op IN ('set', 'delete') GROUP BY group_id, key)
+    SELECT group_id, key, value FROM w WHERE op = 'set'"""
+)
+def kv_last_write_wins(spark, sf_dir):
+    log = views.oplog(spark, sf_dir).where("op in ('set', 'delete')")
+    return kv_log.last_write(log).select("group_id", "key", _text("value").alias("value"))
+
+
+@query(_ALL + " SELECT o.key, o.log_index, f.applied FROM fold f JOIN oplog o ON f.key = o.key AND f.log_index = o.log_index WHERE o.op = 'cas'")
+def kv_compare_and_swap(spark, sf_dir):
+    log = views.oplog(spark, sf_dir)
+    cas = log.where("op = 'cas'").select("key", "log_index")
+    return kv_log.apply_results(log).join(cas, ["key", "log_index"]).select("key", "log_index", "applied")
+
+
+@query(
+    sql("oplog") + """ SELECT key, log_index, sum(delta::HUGEINT) OVER (PARTITION BY key ORDER BY log_index)::VARCHAR AS total FROM oplog WHERE op = 'incr'"""
+)
+def kv_running_counter(spark, sf_dir):
+    log = views.oplog(spark, sf_dir).where("op = 'incr'")
+    return kv_log.running_counters(log).select("key", "log_index", F.col("total").cast("string").alias("total"))
+
+
+_MID = "(SELECT max(log_index) // 2 + min(log_index) // 2 FROM oplog)"
+
+
+@query(_FOLD.format(where=f"WHERE log_index <= {_MID}") + " SELECT group_id, key, value FROM state")
+def kv_read_as_of(spark, sf_dir):
+    log = views.oplog(spark, sf_dir)
+    at = log.agg(F.expr("max(log_index) div 2 + min(log_index) div 2")).first()[0]
+    return kv_log.final_state(kv_log.as_of(log, at)).select("group_id", "key", _text("value").alias("value"))
+
+
+@query(sql("oplog") + f" SELECT group_id, count(*) AS applied, max(log_index) AS last_applied FROM oplog WHERE log_index <= {_MID} GROUP BY group_id")
+def kv_committed_batch(spark, sf_dir):
+    log = views.oplog(spark, sf_dir)
+    at = log.agg(F.expr("max(log_index) div 2 + min(log_index) div 2")).first()[0]
+    return kv_log.committed(log, at).groupBy("group_id").agg(F.count("*").alias("applied"), F.max("log_index").alias("last_applied"))
+
+
+@query(
+    sql("oplog", recursive=True) + """, ops AS (SELECT key, group_id, log_index, delta, row_number() OVER (PARTITION BY key ORDER BY log_index) AS n FROM oplog WHERE op = 'incr' AND delta < 1000000),
+    fold AS (SELECT key, n, log_index, delta >= 0 AS applied, greatest(delta, 0) AS total FROM ops WHERE n = 1
+        UNION ALL SELECT o.key, o.n, o.log_index, o.delta >= 0 OR f.total + o.delta >= 0, CASE WHEN o.delta >= 0 OR f.total + o.delta >= 0 THEN f.total + o.delta ELSE f.total END
+        FROM fold f JOIN ops o ON o.key = f.key AND o.n = f.n + 1)
+    SELECT key, log_index, applied, total FROM fold"""
+)
+def kv_decrement_if_positive(spark, sf_dir):
+    log = views.oplog(spark, sf_dir).where("op = 'incr' and delta < 1000000")
+    return kv_log.decrement_if_positive(log).select("key", "log_index", "applied", "total")
+
+
+# ---- B: sessions ------------------------------------------------------------------------------------------------------
+
+_DECIDED = sql("oplog", recursive=True) + """,
+    judged AS (SELECT *, coalesce(max(seq) OVER (PARTITION BY group_id, client_id ORDER BY log_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS last FROM oplog),
+    decided AS (SELECT *, CASE WHEN seq > last THEN 'apply' WHEN seq = last THEN 'duplicate' ELSE 'stale' END AS decision FROM judged)"""
+
+
+@query(_DECIDED + " SELECT group_id, client_id, log_index, seq, decision FROM decided")
+def session_dedup(spark, sf_dir):
+    return sessions.decide(views.oplog(spark, sf_dir)).select("group_id", "client_id", "log_index", "seq", "decision")
+
+
+_REPLAY = (
+    _DECIDED
+    + _ALL[len(sql("oplog", recursive=True)) :].replace("FROM oplog )", "FROM decided WHERE decision = 'apply')")
+    + """, first AS (SELECT d.group_id, d.client_id, d.seq, f.* EXCLUDE (group_id) FROM fold f JOIN decided d ON d.key = f.key AND d.log_index = f.log_index)"""
+)
+
+
+@query(
+    _REPLAY + """ SELECT d.group_id, d.log_index, d.decision, CASE WHEN d.decision = 'stale' THEN false ELSE f.applied END AS applied,
+        CASE WHEN d.decision <> 'stale' THEN f.shown END AS result, CASE WHEN d.decision = 'stale' THEN 'stale_sequence' ELSE f.error END AS error
+    FROM decided d LEFT JOIN first f ON f.group_id = d.group_id AND f.client_id = d.client_id AND f.seq = d.seq AND d.decision <> 'stale'"""
+)
+def session_replay(spark, sf_dir):
+    out = sessions.apply_once(views.oplog(spark, sf_dir))
+    return out.select("group_id", "log_index", "decision", "applied", _text("result").alias("result"), "error")
+
+
+@query(
+    _REPLAY + """ SELECT group_id, client_id, max(seq) AS last_seq, arg_max(applied, log_index) AS applied, arg_max(coalesce(shown, '-'), log_index) AS result, min(log_index) AS birth
+    FROM first GROUP BY group_id, client_id"""
+)
+def session_table(spark, sf_dir):
+    t = sessions.table(views.oplog(spark, sf_dir))
+    return t.select("group_id", "client_id", "last_seq", "applied", F.coalesce(_text("result"), F.lit("-")).alias("result"), "birth")
+
+
+@query(
+    _DECIDED + """, births AS (SELECT group_id, client_id, min(log_index) AS birth FROM decided WHERE decision = 'apply' GROUP BY ALL)
+    SELECT group_id, client_id, birth FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY birth DESC) AS age FROM births) WHERE age > 5"""
+)
+def session_eviction(spark, sf_dir):
+    return sessions.evicted(views.oplog(spark, sf_dir), capacity=5)
+
+
+@query(sql("oplog") + " SELECT group_id, count(DISTINCT client_id) AS clients, count(DISTINCT client_id) <= 65536 AS fits FROM oplog GROUP BY group_id")
+def session_capacity(spark, sf_dir):
+    return sessions.fits(views.oplog(spark, sf_dir))
+
+
+@query(sql("oplog") + " SELECT group_id, client_id, log_index, row_number() OVER (PARTITION BY group_id, client_id ORDER BY log_index) AS seq FROM oplog")
+def session_sequence(spark, sf_dir):
+    return sessions.number(views.oplog(spark, sf_dir)).select("group_id", "client_id", "log_index", "seq")
+
+
+# ---- C: sharding ------------------------------------------------------------------------------------------------------
+
+_KEYS = "keys AS (SELECT DISTINCT 'p:' || p_name || ':' || p_partkey AS key FROM part)"
+_SLOT = "list_reduce(list_prepend(8997, list_transform(string_split(key, ''), lambda c: ascii(c))), lambda h, b: (xor(h, b) * 435) % 16384)::BIGINT"
+_SLOTTED = f"WITH {_KEYS}, slotted AS (SELECT key, {_SLOT} AS slot FROM keys)"
+
+
+def _keys(spark, sf_dir):
+    p = views.table(spark, sf_dir, "part")
+    return p.select(F.concat(F.lit("p:"), F.col("p_name"), F.lit(":"), F.col("p_partkey").cast("string")).alias("key")).distinct()
+
+
+@query(_SLOTTED + " SELECT key, slot FROM slotted")
+def slot_of_key(spark, sf_dir):
+    return _keys(spark, sf_dir).withColumn("slot", sharding.slot_of(F.col("key")))
+
+
+@query(_SLOTTED + " SELECT key, slot, (slot * 3 // 16384)::BIGINT AS \"group\" FROM slotted")
+def slot_default_group(spark, sf_dir):
+    return _keys(spark, sf_dir).withColumn("slot", sharding.slot_of(F.col("key"))).withColumn("group", sharding.default_group(F.col("slot"), 3))
+
+
+@query(_SLOTTED + ", r AS (SELECT range * 16384 // 3 AS s, (range + 1) * 16384 // 3 AS e, range AS g FROM range(3)) SELECT key, slot, g AS \"group\" FROM slotted JOIN r ON slot >= s AND slot < e")
+def slot_range_lookup(spark, sf_dir):
+    return sharding.route(_keys(spark, sf_dir), sharding.default_ranges(spark, 3)).select("key", "slot", "group")
+
+
+@query("""SELECT * FROM (VALUES ('overlap', 10), ('overlap', 11), ('gap', 100), ('group', 101)) t(problem, "at")""")
+def shard_config_problems(spark, sf_dir):
+    rows = [(1, 3, 0, 12, 0), (1, 3, 10, 100, 1), (1, 3, 101, 16384, 7)]
+    return sharding.problems(spark.createDataFrame(rows, "version bigint, groups bigint, start bigint, end bigint, group bigint")).select("problem", F.col("at").cast("int").alias("at"))
+
+
+@query("SELECT * FROM (VALUES (2, 3, 0, 1000, 0), (2, 3, 1000, 6000, 2), (2, 3, 6000, 10922, 1), (2, 3, 10922, 16384, 2)) t(version, groups, start, \"end\", \"group\")")
+def shard_move_slots(spark, sf_dir):
+    moved = sharding.move(sharding.default_ranges(spark, 3), 1000, 6000, 2)
+    return moved.select(*[F.col(c).cast("int").alias(c) for c in moved.columns])
+
+
+@query(_SLOTTED + " SELECT count(*) > 0 AS found FROM slotted WHERE slot >= 100 AND slot < 200")
+def shard_any_key_in_range(spark, sf_dir):
+    return sharding.any_key_in(_keys(spark, sf_dir), 100, 200)
+
+
+@query("SELECT * FROM (VALUES (3, 0), (3, 1)) t(version, \"group\")")
+def shard_newer_config(spark, sf_dir):
+    configs = sharding.default_ranges(spark, 3, 1).unionByName(sharding.default_ranges(spark, 2, 3))
+    return sharding.newer_than(configs, 1).select(F.col("version").cast("int").alias("version"), F.col("group").cast("int").alias("group"))
+
+
+@query(_SLOTTED + " SELECT (slot * 4 // 16384)::BIGINT AS \"group\", count(*) AS keys, count(DISTINCT slot) AS slots FROM slotted GROUP BY 1")
+def shard_distribution(spark, sf_dir):
+    return sharding.distribution(_keys(spark, sf_dir), 4)
+
+
+# ---- D: metering ------------------------------------------------------------------------------------------------------
+
+_REQ = sql("requests")
+_HOURLY = _REQ + """, kinds AS (SELECT tenant AS tenant_id, ts - ts % 3600 AS bucket, op, status, 'req' AS kind FROM requests
+        UNION ALL SELECT tenant, ts - ts % 3600, '', 0, 'rate' FROM requests WHERE status = 429),
+    usage_buckets AS (SELECT tenant_id, bucket, kind, op, status::INT AS status, count(*) AS count FROM kinds GROUP BY ALL)"""
+
+
+def _buckets(spark, sf_dir):
+    return metering.hourly(views.requests(spark, sf_dir))
+
+
+@query(_REQ + " SELECT tenant, op, status, count(*) AS requests FROM requests GROUP BY ALL")
+def request_counter(spark, sf_dir):
+    return metering.request_counts(views.requests(spark, sf_dir))
+
+
+@query(_REQ + " SELECT tenant, CASE WHEN request_id % 2 = 0 THEN 'rate' ELSE 'conc' END AS kind, count(*) AS refused FROM requests WHERE status = 429 GROUP BY ALL")
+def limit_counters(spark, sf_dir):
+    r = views.requests(spark, sf_dir).withColumn("kind", F.when(F.col("request_id") % 2 == 0, "rate").otherwise("conc"))
+    return metering.limit_counts(r)
+
+
+@query(
+    _REQ + """ SELECT tenant, 'op' AS dim, op AS name, count(*) AS n FROM requests GROUP BY tenant, op
+    UNION ALL SELECT tenant, 'status', status::VARCHAR, count(*) FROM requests GROUP BY tenant, status UNION ALL SELECT tenant, 'all', '', count(*) FROM requests GROUP BY tenant"""
+)
+def tenant_rollup(spark, sf_dir):
+    r = metering.rollup(views.requests(spark, sf_dir))
+    ops = r.select("tenant", F.lit("op").alias("dim"), F.explode("by_op").alias("name", "n"))
+    statuses = r.select("tenant", F.lit("status").alias("dim"), F.explode("by_status").alias("name", "n"))
+    return ops.union(statuses).union(r.select("tenant", F.lit("all"), F.lit(""), "requests"))
+
+
+@query(_HOURLY + " SELECT kind, op, status, sum(count)::BIGINT AS total, min(bucket) AS since FROM usage_buckets WHERE tenant_id = 'tn3' GROUP BY kind, op, status")
+def stored_totals(spark, sf_dir):
+    return metering.stored_totals(_buckets(spark, sf_dir), "tn3")
+
+
+@query(
+    _HOURLY + """ SELECT tenant_id, bucket, kind, op, status, sum(count)::BIGINT AS count FROM (SELECT * FROM usage_buckets UNION ALL SELECT * FROM usage_buckets WHERE bucket % 7200 = 0) GROUP BY ALL"""
+)
+def usage_upsert(spark, sf_dir):
+    b = _buckets(spark, sf_dir)
+    blank = b.limit(1).withColumn("tenant_id", F.lit(" "))  # skipped
+    return metering.upsert(b, b.where("bucket % 7200 = 0").unionByName(blank))
+
+
+@query(
+    _REQ + f""", now_ AS (SELECT tenant AS tenant_id, op, status, count(*) AS n FROM requests GROUP BY ALL), was AS (SELECT tenant AS tenant_id, op, status, count(*) AS f FROM requests WHERE ts < {NOW - 86400 * 10} GROUP BY ALL)
+    SELECT tenant_id, op, status, n - coalesce(f, 0) AS count FROM now_ LEFT JOIN was USING (tenant_id, op, status) WHERE n > coalesce(f, 0)"""
+)
+def usage_flush_delta(spark, sf_dir):
+    count = lambda r: r.groupBy(F.col("tenant").alias("tenant_id"), "op", "status").agg(F.count("*").alias("count"))
+    r = views.requests(spark, sf_dir)
+    return metering.flush_delta(count(r), count(r.where(F.col("ts") < NOW - 86400 * 10)))
+
+
+@query(_REQ + " SELECT tenant, op AS name, count(*) + count(*) FILTER (status = 200) AS n FROM requests GROUP BY tenant, op")
+def usage_merge(spark, sf_dir):
+    r = views.requests(spark, sf_dir)
+    stored, live = metering.rollup(r).select("tenant", F.col("by_op").alias("a")), metering.rollup(r.where("status = 200")).select("tenant", F.col("by_op").alias("b"))
+    both = stored.join(live, "tenant", "left")
+    return both.select("tenant", F.explode(metering.add_usage(F.col("a"), F.col("b"))).alias("name", "n"))
+
+
+@query(_HOURLY + f" SELECT * FROM usage_buckets WHERE tenant_id = 'tn2' AND bucket >= {NOW - 86400 * 3} AND bucket < {NOW - 86400}")
+def usage_range_scan(spark, sf_dir):
+    return metering.between(_buckets(spark, sf_dir), "tn2", NOW - 86400 * 3, NOW - 86400)
+
+
+def _series_sql(name: str) -> str:
+    start, end, step = metering.parse_range(name, NOW)
+    return _HOURLY + f""", points AS (SELECT range AS start FROM range({start}, {end}, {step})),
+        own AS (SELECT {start} + (bucket - {start}) // {step} * {step} AS start, kind, count FROM usage_buckets WHERE tenant_id = 'tn1' AND bucket >= {start} AND bucket < {end})
+        SELECT p.start, coalesce(sum(count) FILTER (kind = 'req'), 0)::BIGINT AS requests, coalesce(sum(count) FILTER (kind = 'rate'), 0)::BIGINT AS rate_limited,
+               coalesce(sum(count) FILTER (kind = 'conc'), 0)::BIGINT AS concurrency_limited FROM points p LEFT JOIN own o ON o.start = p.start GROUP BY p.start"""
+
+
+@query(_series_sql("24h"))
+def usage_series_24h(spark, sf_dir):
+    return metering.series(_buckets(spark, sf_dir), "tn1", "24h", NOW)
+
+
+@query(_series_sql("7d"))
+def usage_series_7d(spark, sf_dir):
+    return metering.series(_buckets(spark, sf_dir), "tn1", "7d", NOW)
+
+
+@query(_series_sql("30d"))
+def usage_series_30d(spark, sf_dir):
+    return metering.series(_buckets(spark, sf_dir), "tn1", "30d", NOW)
+
+
+_S30 = metering.parse_range("30d", NOW)
+
+
+@query(_HOURLY + f" SELECT {_S30[0]} + (bucket - {_S30[0]}) // 86400 * 86400 AS start, op, sum(count)::BIGINT AS requests FROM usage_buckets WHERE tenant_id = 'tn1' AND kind = 'req' AND bucket >= {_S30[0]} AND bucket < {_S30[1]} GROUP BY ALL")
+def usage_series_by_op(spark, sf_dir):
+    return metering.series_by_op(_buckets(spark, sf_dir), "tn1", "30d", NOW)
+
+
+_LE = "CASE " + " ".join(f"WHEN latency_s <= {b} THEN {i}" for i, b in enumerate(metering.LATENCY_BOUNDS)) + f" ELSE {len(metering.LATENCY_BOUNDS)} END"
+
+
+@query(_REQ + f" SELECT op, {_LE} AS bucket, count(*) AS count, round(sum(latency_s), 6) AS seconds FROM requests GROUP BY ALL")
+def latency_histogram(spark, sf_dir):
+    return metering.histogram(views.requests(spark, sf_dir)).withColumn("seconds", F.round("seconds", 6))
+
+
+@query(
+    _REQ + f""", h AS (SELECT op, {_LE} AS bucket, count(*) AS n FROM requests GROUP BY ALL), grid AS (SELECT op, range::INT AS bucket FROM (SELECT DISTINCT op FROM requests), range(13))
+    SELECT op, bucket, sum(coalesce(n, 0)) OVER (PARTITION BY op ORDER BY bucket)::BIGINT AS cumulative FROM grid LEFT JOIN h USING (op, bucket)"""
+)
+def latency_cumulative(spark, sf_dir):
+    return metering.cumulative(metering.histogram(views.requests(spark, sf_dir)))
+
+
+@query(_ALL + """ SELECT split_part(key, ':', 2) AS tenant, sum(strlen(substr(key, length(split_part(key, ':', 2)) + 4)) + strlen(value))::BIGINT AS bytes, count(*) AS keys FROM state GROUP BY 1""")
+def tenant_storage(spark, sf_dir):
+    return metering.tenant_storage(_state(spark, sf_dir))
+
+
+_REPORTS = """WITH r AS (SELECT 'n' || s_nationkey AS node, 'g' || (s_suppkey % 6) AS "group", (s_suppkey * 37) % 11 AS applied, 'tn' || (s_suppkey % 3) AS t1, 'tn' || (s_suppkey % 3 + 3) AS t2, s_suppkey AS k FROM supplier),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY applied DESC, node, k) AS n FROM r) WHERE n = 1)"""
+
+
+@query(_REPORTS + """ SELECT tenant, sum(bytes)::BIGINT AS bytes, sum(keys)::BIGINT AS keys, count(*) AS groups FROM (SELECT t1 AS tenant, k * 10 AS bytes, k AS keys FROM best UNION ALL SELECT t2, k * 20, k + 1 FROM best) GROUP BY tenant""")
+def latest_replica_storage(spark, sf_dir):
+    k = F.col("s_suppkey")
+    used = lambda a, b: F.struct(a.cast("bigint").alias("bytes"), b.cast("bigint").alias("keys"))
+    tenants = F.map_from_arrays(F.array(F.concat(F.lit("tn"), (k % 3).cast("string")), F.concat(F.lit("tn"), (k % 3 + 3).cast("string"))), F.array(used(k * 10, k), used(k * 20, k + 1)))
+    node = F.struct(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), k)  # one report a supplier; ties in node go by supplier
+    reports = views.table(spark, sf_dir, "supplier").select(node.alias("node"), F.concat(F.lit("g"), (k % 6).cast("string")).alias("group"), ((k * 37) % 11).alias("applied"), tenants.alias("tenants"))
+    return metering.latest_replica(reports)
+
+
+@query(
+    sql("requests", recursive=True) + """, r AS (SELECT tenant, ts, request_id, row_number() OVER (PARTITION BY tenant ORDER BY ts, request_id) AS n FROM requests),
+    f AS (SELECT tenant, n, ts, request_id, true AS allowed, 2.0::DOUBLE AS tokens, NULL::DOUBLE AS retry_after FROM r WHERE n = 1
+        UNION ALL SELECT r.tenant, r.n, r.ts, r.request_id, least(3.0, f.tokens + (r.ts - f.ts) * 0.0005) >= 1,
+            CASE WHEN least(3.0, f.tokens + (r.ts - f.ts) * 0.0005) >= 1 THEN least(3.0, f.tokens + (r.ts - f.ts) * 0.0005) - 1 ELSE least(3.0, f.tokens + (r.ts - f.ts) * 0.0005) END,
+            CASE WHEN least(3.0, f.tokens + (r.ts - f.ts) * 0.0005) < 1 THEN (1 - least(3.0, f.tokens + (r.ts - f.ts) * 0.0005)) / 0.0005 END
+        FROM f JOIN r ON r.tenant = f.tenant AND r.n = f.n + 1)
+    SELECT tenant, ts, request_id, allowed, round(retry_after, 3) AS retry_after FROM f"""
+)
+def token_bucket(spark, sf_dir):
+    return metering.token_bucket(views.requests(spark, sf_dir), 0.0005, 3).withColumn("retry_after", F.round("retry_after", 3))
+
+
+@query(
+    _REQ + """, e AS (SELECT tenant, ts AS t, 1 AS d FROM requests UNION ALL SELECT tenant, ts + floor(latency_s * 10000)::BIGINT, -1 FROM requests),
+    s AS (SELECT tenant, t, d, sum(d) AS n FROM e GROUP BY ALL), o AS (SELECT tenant, sum(n) OVER (PARTITION BY tenant ORDER BY t, d) AS open FROM s) SELECT tenant, max(open)::BIGINT AS peak FROM o GROUP BY tenant"""
+)
+def concurrency_peak(spark, sf_dir):
+    r = views.requests(spark, sf_dir).select("tenant", F.col("ts").alias("start"), (F.col("ts") + F.floor(F.col("latency_s") * 10000).cast("bigint")).alias("finish"))
+    return metering.concurrency(r)
+
+
+@query(sql("tenants") + " SELECT id, CASE WHEN quota_rps > 0 THEN quota_rps ELSE 50.0 END AS effective_rps, CASE WHEN quota_burst > 0 THEN quota_burst ELSE 100 END AS effective_burst FROM tenants")
+def effective_quota(spark, sf_dir):
+    return metering.effective_quota(views.tenants(spark, sf_dir), 50.0, 100).select("id", "effective_rps", "effective_burst")
+
+
+_STATUS = f"CASE WHEN revoked_at IS NOT NULL THEN 'revoked' WHEN expires_at <= {NOW} THEN 'expired' ELSE 'active' END"
+
+
+@query(sql("api_keys") + f" SELECT prefix, {_STATUS} AS status FROM api_keys")
+def key_status(spark, sf_dir):
+    return views.api_keys(spark, sf_dir).select("prefix", metering.key_status(NOW).alias("status"))
+
+
+@query(sql("api_keys") + f" SELECT tenant_id, count(*) FILTER ({_STATUS} = 'active') AS active, count(*) FILTER ({_STATUS} = 'active') >= 10 AS \"full\" FROM api_keys GROUP BY tenant_id")
+def active_keys(spark, sf_dir):
+    return metering.active_keys(views.api_keys(spark, sf_dir), NOW)
+
+
+@query(sql("api_keys") + " SELECT tenant_id, prefix, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at, prefix) AS place FROM api_keys")
+def ordered_keys(spark, sf_dir):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("tenant_id").orderBy("created_at", "prefix"))
+    return views.api_keys(spark, sf_dir).select("tenant_id", "prefix", place.cast("bigint").alias("place"))
+
+
+@query(sql("tenants") + ", p AS (SELECT id, name FROM tenants WHERE id > 'tn12' ORDER BY id LIMIT 5) SELECT id, name, (SELECT CASE WHEN count(*) = 5 THEN max(id) END FROM p) AS next_after FROM p")
+def tenant_page(spark, sf_dir):
+    return metering.page_after(views.tenants(spark, sf_dir).select("id", "name"), "id", "tn12", 5)
+
+
+@query(sql("api_keys") + f" SELECT count(*) AS kept, count(*) FILTER (expires_at IS NOT NULL) AS dated FROM api_keys WHERE expires_at IS NULL OR expires_at > {NOW}")
+def expiry_purge(spark, sf_dir):
+    return metering.unexpired(views.api_keys(spark, sf_dir), NOW).agg(F.count("*").alias("kept"), F.count("expires_at").alias("dated"))
+
+
+@query(sql("api_keys") + f" SELECT prefix, CASE WHEN revoked_at IS NULL AND prefix IN ('k000000007', 'k000000008') THEN {NOW} ELSE revoked_at END AS revoked_at FROM api_keys")
+def key_revoke(spark, sf_dir):
+    return metering.revoke(views.api_keys(spark, sf_dir), ["k000000007", "k000000008"], NOW).select("prefix", "revoked_at")
+
+
+@query("SELECT event_type AS method, props AS path, 'other' AS op FROM events GROUP BY ALL")
+def route_label(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events").select(F.col("event_type").alias("method"), F.col("props").alias("path")).distinct()
+    return e.withColumn("op", metering.route_op(F.col("method"), F.col("path")))
+
+
+@query(sql("requests", "api_keys", "tenants") + f" SELECT r.request_id, t.id AS tenant_id, t.name FROM requests r JOIN api_keys k ON k.prefix = 'k' || lpad((r.request_id % 900 + 1)::VARCHAR, 9, '0') JOIN tenants t ON t.id = k.tenant_id WHERE {_STATUS} = 'active'")
+def authenticate(spark, sf_dir):
+    keys = views.api_keys(spark, sf_dir).drop("hash").withColumnRenamed("prefix", "hash")
+    r = views.requests(spark, sf_dir).select("request_id", F.concat(F.lit("k"), F.lpad((F.col("request_id") % 900 + 1).cast("string"), 9, "0")).alias("hash"))
+    return metering.authenticate(r, keys, views.tenants(spark, sf_dir), NOW).select("request_id", "tenant_id", "name")
+
+
+_SAMPLES = sql("samples")
+
+
+@query(
+    _SAMPLES + """, k AS (SELECT *, lag(leader_id) OVER (PARTITION BY node, "group" ORDER BY us, event_id) AS was FROM samples WHERE leader_id <> '')
+    SELECT node, "group", count(*) AS changes FROM k WHERE was IS NULL OR was <> leader_id GROUP BY node, "group" """
+)
+def leader_changes(spark, sf_dir):
+    return monitoring.leader_changes(views.group_samples(spark, sf_dir))
+
+
+@query(
+    _SAMPLES + """, s AS (SELECT *, row_number() OVER (PARTITION BY node, "group" ORDER BY us DESC, event_id DESC) AS n FROM samples)
+    SELECT node, "group", term, (leader_id = node)::INT AS is_leader, commit_index, last_applied, greatest(0, commit_index - last_applied) AS apply_lag FROM s WHERE n = 1"""
+)
+def group_gauges(spark, sf_dir):
+    return monitoring.gauges(views.group_samples(spark, sf_dir))
+
+
+# ---- dashboards -------------------------------------------------------------------------------------------------------
+
+
+def _rate_sql(by: str, where: str = "true", window: int = 86400) -> str:
+    keys = "tenant, op, status"
+    return _REQ + f""", s AS (SELECT {keys}, ts - ts % 3600 + 3600 AS t, count(*) AS n FROM requests WHERE {where} GROUP BY ALL),
+        c AS (SELECT {keys}, t, sum(n) OVER (PARTITION BY {keys} ORDER BY t) AS v FROM s), g AS (SELECT *, v - lag(v) OVER (PARTITION BY {keys} ORDER BY t) AS gain FROM c)
+        SELECT {by}, t - t % {window} AS start, round(sum(coalesce(gain, 0)) / {window}, 9)::DOUBLE AS rate FROM g GROUP BY {by}, t - t % {window}"""
+
+
+def _rate(spark, sf_dir, by: str, where=None, window: int = 86400) -> DataFrame:
+    r = views.requests(spark, sf_dir)
+    keys = ["tenant", "op", "status"]
+    scraped = monitoring.scrape(r if where is None else r.where(where), keys, 3600)
+    return monitoring.rate(scraped, keys, [by], window).withColumn("rate", F.round("rate", 9))
+
+
+@query(_rate_sql("op"))
+def rate_by_op(spark, sf_dir):
+    return _rate(spark, sf_dir, "op")
+
+
+@query(_rate_sql("tenant"))
+def rate_by_tenant(spark, sf_dir):
+    return _rate(spark, sf_dir, "tenant")
+
+
+@query(_rate_sql("tenant", "status BETWEEN 500 AND 599"))
+def rate_server_errors(spark, sf_dir):
+    return _rate(spark, sf_dir, "tenant", monitoring.status_matches("5.."))
+
+
+@query(_rate_sql("op", "status = 401"))
+def rate_unauthorized(spark, sf_dir):
+    return _rate(spark, sf_dir, "op", monitoring.status_matches("401"))
+
+
+@query(_rate_sql("tenant", "status = 429"))
+def rate_limited_by_tenant(spark, sf_dir):
+    return _rate(spark, sf_dir, "tenant", monitoring.status_matches("429"))
+
+
+_EDGES = "[0.0, " + ", ".join(map(str, metering.LATENCY_BOUNDS)) + "]"
+
+
+def _quantile_sql(q: float) -> str:
+    return _REQ + f""", h AS (SELECT {_LE} AS bucket, count(*) AS n FROM requests GROUP BY ALL), c AS (SELECT range AS bucket, coalesce(n, 0) AS n FROM range(13) LEFT JOIN h ON h.bucket = range),
+        u AS (SELECT bucket, sum(n) OVER (ORDER BY bucket) AS hi, sum(n) OVER (ORDER BY bucket) - n AS lo, {q} * sum(n) OVER () AS rank FROM c), e AS (SELECT *, {_EDGES}::DOUBLE[] AS edges FROM u)
+        SELECT 'all' AS scope, round(CASE WHEN bucket >= 12 THEN 5.0 ELSE edges[bucket + 1] + (edges[bucket + 2] - edges[bucket + 1]) * (rank - lo) / (hi - lo) END, 9)::DOUBLE AS value FROM e WHERE hi >= rank AND lo < rank"""
+
+
+def _quantile(spark, sf_dir, q: float) -> DataFrame:
+    h = metering.histogram(views.requests(spark, sf_dir).withColumn("op", F.lit("all")))
+    out = monitoring.bucket_quantile(metering.cumulative(h), ["op"], q, metering.LATENCY_BOUNDS)
+    return out.select(F.col("op").alias("scope"), F.round("value", 9).alias("value"))
+
+
+@query(_quantile_sql(0.5))
+def latency_quantile_p50(spark, sf_dir):
+    return _quantile(spark, sf_dir, 0.5)
+
+
+@query(_quantile_sql(0.95))
+def latency_quantile_p95(spark, sf_dir):
+    return _quantile(spark, sf_dir, 0.95)
+
+
+@query(_quantile_sql(0.99))
+def latency_quantile_p99(spark, sf_dir):
+    return _quantile(spark, sf_dir, 0.99)
+
+
+@query(
+    _SAMPLES + """, k AS (SELECT *, lag(leader_id) OVER (PARTITION BY node, "group" ORDER BY us, event_id) AS was FROM samples WHERE leader_id <> ''),
+    c AS (SELECT node, "group", us // 1000000 AS t, row_number() OVER (PARTITION BY node, "group" ORDER BY us, event_id) AS v FROM k WHERE was IS NULL OR was <> leader_id),
+    g AS (SELECT *, v - lag(v) OVER (PARTITION BY node, "group" ORDER BY t, v) AS gain FROM c)
+    SELECT "group", t - t % 86400 AS start, sum(coalesce(gain, 0))::BIGINT AS increase FROM g GROUP BY ALL"""
+)
+def leader_change_increase(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("node", "group").orderBy("us", "event_id")
+    known = views.group_samples(spark, sf_dir).where("leader_id <> ''").withColumn("before", F.lag("leader_id").over(order))
+    changed = known.where("before is null or before <> leader_id")
+    counter = changed.select("node", "group", F.floor(F.col("us") / 1_000_000).cast("bigint").alias("t"), F.row_number().over(order).alias("v"))
+    gained = monitoring.increases(counter, ["node", "group"])
+    return gained.groupBy("group", (F.col("t") - F.col("t") % 86400).alias("start")).agg(F.sum("gain").cast("bigint").alias("increase"))
+
+
+# ---- E: histories -----------------------------------------------------------------------------------------------------
+
+_OPS = """WITH ops AS (SELECT 'w' || (user_id % 4) AS label, event_type IN ('click', 'view') AS is_read, floor(value * 100)::BIGINT AS latency_us,
+    CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'Unavailable' END AS code, CASE WHEN event_type = 'error' THEN repeat('node unreachable ', 8) END AS error FROM events)"""
+
+
+def _bench_ops(spark, sf_dir):
+    e = views.events(spark, sf_dir)
+    return e.select(
+        F.concat(F.lit("w"), (F.col("user_id") % 4).cast("string")).alias("label"), F.col("event_type").isin("click", "view").alias("is_read"), F.floor(F.col("value") * 100).cast("bigint").alias("latency_us"),
+        F.when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0), "Unavailable").alias("code"), F.when(F.col("event_type") == "error", F.repeat(F.lit("node unreachable "), 8)).alias("error"),
+    )
+
+
+@query(
+    _OPS + """ SELECT label, count(*) AS attempts, count(*) FILTER (is_read) AS reads, count(*) FILTER (NOT is_read) AS writes, count(error) AS errors, round(count(*) FILTER (error IS NULL) / 30.0, 6)::DOUBLE AS ops_per_sec,
+    quantile_disc(latency_us, 0.5) FILTER (error IS NULL) AS p50_us, quantile_disc(latency_us, 0.95) FILTER (error IS NULL) AS p95_us, quantile_disc(latency_us, 0.99) FILTER (error IS NULL) AS p99_us,
+    max(latency_us) FILTER (error IS NULL) AS max_us, (sum(latency_us) FILTER (error IS NULL) // count(*) FILTER (error IS NULL))::BIGINT AS mean_us FROM ops GROUP BY label"""
+)
+def bench_percentiles(spark, sf_dir):
+    return history.bench_summary(_bench_ops(spark, sf_dir), ["label"], 30.0).withColumn("ops_per_sec", F.round("ops_per_sec", 6))
+
+
+@query(_OPS + " SELECT label, coalesce(code, substr(error, 1, 60)) AS code, count(*) AS errors FROM ops WHERE error IS NOT NULL GROUP BY ALL")
+def bench_error_codes(spark, sf_dir):
+    return history.error_codes(_bench_ops(spark, sf_dir), ["label"])
+
+
+@query(_ALL + " SELECT key FROM (SELECT DISTINCT key FROM oplog) WHERE key NOT IN (SELECT key FROM state)")
+def data_loss_sweep(spark, sf_dir):
+    log = views.oplog(spark, sf_dir)
+    return history.missing(log, kv_log.final_state(log))
+
+
+@query("SELECT range AS k, 'bench-' || lpad(range::VARCHAR, 6, '0') AS key, range % 8 AS worker FROM range(1000)")
+def workload_keys(spark, sf_dir):
+    return history.workload(spark, 1000, 8)
+
+
+_HISTORY = """ops AS (SELECT user_id % 64 AS history_id, event_id, 't:u' || user_id AS key, epoch_us(ts) AS start, epoch_us(ts) + floor(value * 1e8)::BIGINT AS finish FROM events)"""
+
+
+def _history(spark, sf_dir):
+    e = views.events(spark, sf_dir)
+    return e.select((F.col("user_id") % 64).alias("history_id"), F.col("event_id").alias("id"), F.concat(F.lit("t:u"), F.col("user_id").cast("string")).alias("key"), F.col("us").alias("start"), (F.col("us") + F.floor(F.col("value") * 1e8).cast("bigint")).alias("finish"))
+
+
+@query(f"WITH {_HISTORY} SELECT history_id, start, row_number() OVER (PARTITION BY history_id ORDER BY finish, start)::INT AS id FROM ops")
+def completion_ids(spark, sf_dir):
+    return history.completion_ids(_history(spark, sf_dir)).select("history_id", "start", "id")
+
+
+@query(f"WITH {_HISTORY} SELECT b.history_id, b.key, b.event_id AS id, count(a.key) AS n FROM ops b LEFT JOIN ops a ON a.key = b.key AND a.history_id = b.history_id AND a.finish < b.start GROUP BY ALL")
+def realtime_predecessors(spark, sf_dir):
+    return history.predecessors(_history(spark, sf_dir)).select("history_id", "key", "id", "n")
+
+
+@query("""WITH m AS (SELECT 'g' || n_regionkey AS "group", n_nationkey * 13 % 31 AS match_index FROM nation) SELECT "group", list_sort(list(match_index), 'DESC')[3]::BIGINT AS commit_index FROM m GROUP BY "group" """)
+def quorum_commit_index(spark, sf_dir):
+    n = views.table(spark, sf_dir, "nation")
+    m = n.select(F.concat(F.lit("g"), F.col("n_regionkey").cast("string")).alias("group"), (F.col("n_nationkey") * 13 % 31).cast("bigint").alias("match_index"))
+    return history.quorum_index(m, 5)
+
+
+_LOG = """l AS (SELECT o_custkey % 5 AS "group", row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS "index", o_orderkey % 7 AS term, o_orderstatus || o_orderkey AS payload, o_orderkey AS k FROM orders)"""
+
+
+def _entries(spark, sf_dir):
+    from pyspark.sql import Window
+
+    o = views.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("group"), F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 7).alias("term"), F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("payload"))
+    return o.withColumn("index", F.row_number().over(Window.partitionBy("group").orderBy("k")).cast("bigint"))
+
+
+@query(f"""WITH {_LOG}, kept AS (SELECT * FROM l WHERE "index" % 50 <> 0) SELECT "group", "index", 'gap' AS fault FROM (SELECT *, lag("index") OVER (PARTITION BY "group" ORDER BY "index") AS was FROM kept) WHERE "index" <> was + 1
+    UNION ALL SELECT "group", "index", 'crc' FROM kept WHERE "index" % 50 = 2""")
+def log_validation(spark, sf_dir):
+    e = _entries(spark, sf_dir).where("index % 50 <> 0").withColumn("payload", F.col("payload").cast("binary"))
+    return history.log_faults(e.withColumn("crc", F.when(F.col("index") % 50 == 2, F.lit(-1)).otherwise(F.crc32("payload"))))
+
+
+@query(f"""WITH {_LOG}, c AS (SELECT "group", min("index") AS first FROM l WHERE "index" % 97 = 0 GROUP BY ALL) SELECT l."group", count(*) AS kept, max("index") AS last FROM l LEFT JOIN c USING ("group") WHERE first IS NULL OR "index" < first GROUP BY l."group" """)
+def log_conflict_truncate(spark, sf_dir):
+    local = _entries(spark, sf_dir).select("group", "index", "term")
+    leader = local.withColumn("term", F.when(F.col("index") % 97 == 0, F.col("term") + 1).otherwise(F.col("term")))
+    return history.truncate_conflicts(local, leader).groupBy("group").agg(F.count("*").alias("kept"), F.max("index").alias("last"))
+
+
+@query(f"""WITH {_LOG} SELECT "group", "index" FROM l WHERE "index" % 211 = 0""")
+def replica_convergence(spark, sf_dir):
+    a = _entries(spark, sf_dir).select("group", "index", "payload")
+    b = a.withColumn("payload", F.when(F.col("index") % 211 == 0, F.lit("other")).otherwise(F.col("payload")))
+    return history.divergent(a.unionByName(b).unionByName(a))
+
+
+@query()
+def linearizability(spark, sf_dir):
+    """Histories of the applied commands: each client's commands on a key, with the results of the fold."""
+    log = views.oplog(spark, sf_dir)
+    done = kv_log.apply_results(log).join(log.select("key", "log_index", "op", _text("value").alias("given"), _text("expected").alias("wanted"), "delta"), ["key", "log_index"])
+    kind = F.when(F.col("op") == "incr", "incrby").otherwise(F.col("op"))
+    given = F.when(F.col("op") == "cas", F.concat(F.coalesce("wanted", F.lit(history.ABSENT)), F.lit(history.CAS_SEPARATOR), "given")).when(F.col("op") == "incr", F.col("delta").cast("string")).otherwise(F.col("given"))
+    shown = F.when(F.col("op") == "cas", F.col("applied").cast("string")).when(F.col("op") == "incr", _text("value")).otherwise("")
+    ops = done.where("op <> 'delete'").select(F.pmod(F.xxhash64("key"), F.lit(16)).alias("history_id"), "key", kind.alias("type"), given.alias("input"), shown.alias("output"), (F.col("log_index")).alias("start"), (F.col("log_index") + 1).alias("finish"), F.col("error").isNull().alias("success"))
+    return history.check_linearizable(ops)
