@@ -18,7 +18,7 @@ WRITES = ("set", "incrby", "cas")
 
 def nearest_rank(p: float, value: str) -> Column:
     """Smallest value with at least a share p of the values at or below it."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
+    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").cast("bigint")
 
 
 def bench_summary(ops: DataFrame, by: list[str], window_s: float) -> DataFrame:

@@ -9,21 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions import text
 from tidelog.operators import history, kv_log, metering, monitoring, sessions, sharding
-from tidelog.sources import views
+from tidelog.sources import formats, views
+from tidelog.sources.scratch import scratch
 from tidelog.sources.views import NOW, sql
+from tidelog.streaming import streams
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(text: str | None = None):
+def query(statement: str | None = None):
     """Registers a query under its function's name, with its SQL."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        if text:
-            ORACLE[f.__name__] = text
+        if statement:
+            ORACLE[f.__name__] = statement
         return f
 
     return add
@@ -675,3 +678,47 @@ def linearizability(spark, sf_dir):
     shown = F.when(F.col("op") == "cas", F.col("applied").cast("string")).when(F.col("op") == "incr", _text("value")).otherwise("")
     ops = done.where("op <> 'delete'").select(F.pmod(F.xxhash64("key"), F.lit(16)).alias("history_id"), "key", kind.alias("type"), given.alias("input"), shown.alias("output"), (F.col("log_index")).alias("start"), (F.col("log_index") + 1).alias("finish"), F.col("error").isNull().alias("success"))
     return history.check_linearizable(ops)
+
+
+# ---- sources, scalar functions, streams -------------------------------------------------------------------------------
+
+
+@query(
+    _REQ + """, c AS (SELECT tenant, op, status, count(*) AS n FROM requests GROUP BY ALL)
+    SELECT 'requests_total{tenant="' || tenant || '",op="' || op || '",status="' || status || '"} ' || n AS line FROM c"""
+)
+def metrics_exposition(spark, sf_dir):
+    return formats.expose_requests(metering.request_counts(views.requests(spark, sf_dir))).select("line")
+
+
+@query(_REQ + " SELECT tenant, sum(n)::DOUBLE AS requests FROM (SELECT tenant, count(*) AS n FROM requests GROUP BY tenant, op, status) GROUP BY tenant")
+def metrics_read_back(spark, sf_dir):
+    lines = formats.expose_requests(metering.request_counts(views.requests(spark, sf_dir))).select("line")
+    return formats.parse_exposition(lines).groupBy(F.col("labels")["tenant"].alias("tenant")).agg(F.sum("value").alias("requests"))
+
+
+@query(_ALL + " SELECT CASE WHEN b < 1000 THEN b || ' B' ELSE printf('%.2f KB', b / 1000.0) END AS size, tenant FROM (SELECT split_part(key, ':', 2) AS tenant, sum(strlen(value)) * 100 AS b FROM state GROUP BY 1)")
+def console_sizes(spark, sf_dir):
+    s = _state(spark, sf_dir).groupBy(text.tenant_of(F.col("key")).alias("tenant")).agg((F.sum(F.octet_length("value")) * 100).alias("b"))
+    return s.select("tenant", text.format_bytes(F.col("b")).alias("size"))
+
+
+@query(_REQ + " SELECT tenant, round(100.0 * count(*) FILTER (status = 429) / count(*), 6)::DOUBLE AS drop_rate FROM requests GROUP BY tenant")
+def console_drop_rate(spark, sf_dir):
+    r = views.requests(spark, sf_dir).groupBy("tenant").agg(F.count_if(F.col("status") == 429).alias("dropped"), F.count("*").alias("n"))
+    return r.select("tenant", F.round(text.share(F.col("dropped"), F.col("n")), 6).alias("drop_rate"))
+
+
+@query(sql("tenants") + " SELECT id, name FROM tenants WHERE contains(lower(name), 'n1') OR contains(lower(id), 'n1')")
+def console_tenant_search(spark, sf_dir):
+    has = lambda c: F.contains(F.lower(F.col(c)), F.lit("n1"))
+    return views.tenants(spark, sf_dir).where(has("name") | has("id")).select("id", "name")
+
+
+@query(_HOURLY + " SELECT tenant_id, bucket, kind, op, status, count FROM usage_buckets")
+def stream_hourly_usage(spark, sf_dir):
+    """Usage buckets kept by a stream over the events' files, one version a micro-batch."""
+    target, checkpoint = scratch(spark, "usage"), scratch(spark, "offsets")
+    source = views.events_stream(spark, sf_dir)
+    streams.hourly_usage(source, target, checkpoint)
+    return streams.latest(spark, target).select("tenant_id", "bucket", "kind", "op", "status", "count")

@@ -53,9 +53,21 @@ def oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ts (seconds), tenant, op, status, latency_s, request_id."""
+    return _as_requests(events(spark, sf_dir))
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as a stream over the files of ``events``."""
+    path = f"{sf_dir}/events.parquet"
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")  # a pattern may name one file
+    us = F.expr("unix_micros(cast(ts as timestamp))")
+    return _as_requests(raw.select("event_id", "user_id", "event_type", "value", us.alias("us")))
+
+
+def _as_requests(e: DataFrame) -> DataFrame:
     status = F.when(F.col("event_type") == "error", 500).when((F.col("event_type") == "view") & (F.col("event_id") % 7 == 0), 429).otherwise(200)
     op = F.when(F.col("event_type") == "signup", "put").when(F.col("event_type") == "purchase", "incr").when(F.col("event_type") == "click", "get").when(F.col("event_type") == "error", "delete").otherwise("cas")
-    return events(spark, sf_dir).select(
+    return e.select(
         F.floor(F.col("us") / 1_000_000).cast("bigint").alias("ts"),
         F.concat(F.lit("tn"), (F.col("user_id") % 8).cast("string")).alias("tenant"),
         op.alias("op"), status.alias("status"), (F.col("value") / 1000).alias("latency_s"), F.col("event_id").alias("request_id"),
