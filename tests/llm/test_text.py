@@ -102,9 +102,11 @@ def brute_lines(rows, min_chars=20, min_docs=3):
     return Counter(out)
 
 
-@pytest.mark.parametrize("bound", [1 << 26, 1])
-def test_lines(spark, bound, monkeypatch):
-    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 5)  # many shards; at a bound of one byte a pass for each
+@pytest.mark.parametrize(("bound", "passes"), [(1 << 26, 4), (1, 1 << 20), (1, 0)])
+def test_lines(spark, bound, passes, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 5)  # many shards; at a bound of one byte a pass for each, or probes sent to them
+    monkeypatch.setattr(line_dedup, "MOST_PASSES", passes)
+    monkeypatch.setattr(line_dedup, "HOT_DOCS", 12)
     r = random.Random(1)
     pool = [f"line number {i} é with Some Words" for i in range(25)] + ["short", "", "   ", "x" * 19, "é" * 20, "A" * 20, "a" * 20 + "\t"]
     rows = [(None if i == 7 else i % 37, None if i == 3 else "\n".join(r.choice(pool) for _ in range(r.randint(1, 9)))) for i in range(60)]

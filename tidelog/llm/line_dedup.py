@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,9 @@ EDGE = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 50_000
 GAMMA, LEVELS = 1.6, 24
 NO_DOC = -(2**63)
+#: Broadcasts (each a pass over the documents) up to which arrays go to the documents; beyond,
+#: probes go to the arrays, but for lines of so many documents, which stay broadcast.
+MOST_PASSES, HOT_DOCS = 4, 100_000
 
 
 def key_of(line: bytes) -> bytes:
@@ -103,24 +107,40 @@ class PerfectHash:
         return new
 
 
-def line_stats(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(h1, h2, n_docs, last_doc) of every line key of at least ``min_chars`` code points."""
+def hashed(data: bytes | None, min_chars: int) -> list[tuple[int, int, int]]:
+    """(line number, h1, h2) of the lines whose keys have at least ``min_chars`` code points; signed halves of 128 bits."""
+    out = []
+    for n, line in enumerate((data or b"").split(b"\n")):
+        if len(line) < min_chars:
+            continue
+        k = key_of(line)
+        if len(k) >= min_chars and (k.isascii() or len(k.decode()) >= min_chars):
+            h = xxhash.xxh3_128_intdigest(k)
+            out.append((n, ((h >> 64) ^ (1 << 63)) - (1 << 63), ((h & 0xFFFFFFFFFFFFFFFF) ^ (1 << 63)) - (1 << 63)))
+    return out
+
+
+def document_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(h1, h2, doc_id): the distinct line keys of every document."""
 
     def make():
         def lines(batch):
             h1, h2, ids = [], [], []
             for doc, data in zip(batch.column("doc_id").to_pylist(), raw(batch, "text"), strict=True):
-                seen = {k for k in map(key_of, (data or b"").split(b"\n")) if len(k) >= min_chars and (k.isascii() or len(k.decode()) >= min_chars)}
-                for k in seen:
-                    h = xxhash.xxh3_128_intdigest(k)
-                    h1.append(((h >> 64) ^ (1 << 63)) - (1 << 63))
-                    h2.append(((h & 0xFFFFFFFFFFFFFFFF) ^ (1 << 63)) - (1 << 63))
-                ids += [NO_DOC if doc is None else doc] * len(seen)
+                own = {x[1:] for x in hashed(data, min_chars)}
+                h1 += [x for x, _ in own]
+                h2 += [x for _, x in own]
+                ids += [NO_DOC if doc is None else doc] * len(own)
             return [h1, h2, ids]
 
         return lines
 
-    rows = emit(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "h1 bigint, h2 bigint, doc_id bigint", make)
+    return emit(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "h1 bigint, h2 bigint, doc_id bigint", make)
+
+
+def line_stats(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(h1, h2, n_docs, last_doc) of every line key of at least ``min_chars`` code points."""
+    rows = document_lines(docs, min_chars)
     return rows.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
@@ -166,6 +186,50 @@ class Probe:
         return found, last
 
 
+def routed(docs: DataFrame, shards: DataFrame, n_shards: int, hot: list, n_hot: int, min_chars: int) -> DataFrame:
+    """(doc_id, gone): hashes of the lines that each document loses, by probes sent to the shards.
+
+    A shard's arrays come first in its partition and its probes stream past them. Lines
+    in ``hot`` shards are left to the documents, so no shard gets a very common line.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def cold_make():
+        probe = Probe(held.value, n_hot)
+
+        def run(batch):
+            found, _ = probe.last_docs(batch.column("h1").to_numpy(), batch.column("h2").to_numpy())
+            cold = pa.array(~found)
+            return [batch.column(c).filter(cold) for c in ("h1", "h2", "doc_id")]
+
+        return run
+
+    probes = emit(document_lines(docs, min_chars), "h1 bigint, h2 bigint, doc_id bigint", cold_make)
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    arrays = shards.select("shard", F.lit(0).alias("kind"), "mph", "fingerprints", "counts", "last_docs", *none("bigint", "h1", "h2", "doc_id"))
+    asked = probes.select(F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), *none("binary", "mph", "fingerprints", "counts", "last_docs"), "h1", "h2", "doc_id")
+    rows = arrays.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind")
+
+    def answer(batches):
+        probe: Probe | None = None
+        for batch in batches:
+            shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+            change = np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1]) | (kind[1:] == 0)) + 1
+            for start, end in zip([0, *change.tolist()], [*change.tolist(), len(shard)], strict=True):
+                part = batch.slice(start, end - start)
+                if kind[start] == 0:
+                    one = part.to_pylist()[0]
+                    probe = Probe([(one["shard"], one["mph"], one["fingerprints"], one["counts"], one["last_docs"])], n_shards)
+                elif probe is not None and int(shard[start]) in probe.shards:
+                    h1, h2, ids = (part.column(c).to_numpy() for c in ("h1", "h2", "doc_id"))
+                    found, last = probe.last_docs(h1, h2)
+                    lose = found & (last != ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[lose]) for x in (ids, h1, h2)], names=["doc_id", "h1", "h2"])
+
+    lost = rows.mapInArrow(answer, "doc_id bigint, h1 bigint, h2 bigint")
+    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with its text stripped of repeated lines, and n_lines, n_dropped, dropped_lines, kept_sha256.
 
@@ -173,79 +237,81 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, broadca
     ``min_chars`` code points that occur in at least ``min_docs`` documents (distinct
     doc_id; null ids are one document, the smallest) lose their lines except in the
     largest doc_id that holds them; rows that share that doc_id all keep them. A null
-    text stays null where nothing could be dropped from it. dropped_lines holds the
-    0-based line numbers. Input columns named like a result give way to it. Shards
-    beyond ``broadcast_bytes`` are probed in several passes, each of bounded size.
+    text stays null. dropped_lines holds the 0-based line numbers. Input columns named
+    like a result give way to it. Shards go to the documents in broadcasts of
+    ``broadcast_bytes``, a pass each; where that would take more than ``MOST_PASSES``,
+    the documents' probes go to the shards instead.
     """
     spark = docs.sparkSession
     repeated = stash(line_stats(docs, min_chars).where(F.col("n_docs") >= min_docs), "lines")
     n_shards = max(1, -(-repeated.count() // SHARD_KEYS))
     shards = stash(build_shards(repeated, n_shards), "shards")
-    sizes = shards.select("shard", sum(F.length(c) for c in shards.columns[1:]).alias("bytes")).orderBy("shard").collect()
     groups: list[list[int]] = [[]]
-    total = 0
-    for shard, size in sizes:
-        if groups[-1] and total + size > broadcast_bytes:
-            groups.append([])
-            total = 0
-        groups[-1].append(shard)
-        total += size
-
-    long_list = T.ArrayType(T.LongType())
-    out = docs
-    for i, group in enumerate(groups):
-        held = spark.sparkContext.broadcast([tuple(r) for r in shards.where(F.col("shard").isin(group)).collect()] if group else [])
-        first, last_pass = i == 0, i == len(groups) - 1
-
-        def make(held=held, first=first, last_pass=last_pass):
-            probe = Probe(held.value, n_shards)
+    sizes = shards.select("shard", sum(F.length(c) for c in shards.columns[1:]).alias("bytes"))
+    if (sizes.agg(F.sum("bytes")).first()[0] or 0) <= broadcast_bytes * MOST_PASSES:
+        total = 0
+        for shard, size in sizes.orderBy("shard").collect():  # a row a shard
+            if groups[-1] and total + size > broadcast_bytes:
+                groups.append([])
+                total = 0
+            groups[-1].append(shard)
+            total += size
+        parts = [([tuple(r) for r in shards.where(F.col("shard").isin(g)).collect()] if g else [], n_shards) for g in groups]
+        out = docs
+    else:
+        common = repeated.where(F.col("n_docs") >= HOT_DOCS)
+        n_hot = max(1, -(-common.count() // SHARD_KEYS))
+        hot = [tuple(r) for r in build_shards(common, n_hot).collect()]
+        parts = [(hot, n_hot)]
+        gone = stash(routed(docs, shards, n_shards, hot, n_hot, min_chars), "gone").withColumnRenamed("doc_id", "__id")
+        out = docs.join(gone, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_DOC)) == F.col("__id"), "left").drop("__id")
+
+    for i, (part, n) in enumerate(parts):
+        held = spark.sparkContext.broadcast(part)
+        first, last_pass = i == 0, i == len(parts) - 1
+
+        def make(held=held, n=n, first=first, last_pass=last_pass):
+            probe = Probe(held.value, n)
 
             def run(batch):
-                ids = [NO_DOC if d is None else d for d in batch.column("doc_id").to_pylist()]
+                ids = np.array([NO_DOC if d is None else d for d in batch.column("doc_id").to_pylist()], np.int64)
                 texts = raw(batch, "text")
                 before = [()] * len(ids) if first else batch.column("dropped_lines").to_pylist()
-                split, h1, h2, owner, line_no = [], [], [], [], []
-                for row, data in enumerate(texts):
-                    split.append((data or b"").split(b"\n"))
-                    for n, line in enumerate(split[-1]):
-                        if len(line) < min_chars:
-                            continue
-                        k = key_of(line)
-                        if len(k) >= min_chars and (k.isascii() or len(k.decode()) >= min_chars):
-                            h = xxhash.xxh3_128_intdigest(k)
-                            h1.append(h >> 64)
-                            h2.append(h & 0xFFFFFFFFFFFFFFFF)
-                            owner.append(row)
-                            line_no.append(n)
-                found, last = probe.last_docs(np.array(h1, np.uint64).view(np.int64), np.array(h2, np.uint64).view(np.int64))
-                owners = np.array(owner, np.int64)
-                lose = found & (last != np.array(ids, np.int64)[owners]) if len(owners) else found
-                dropped: list[list[int]] = [list(b or ()) for b in before]
-                for j in np.flatnonzero(lose):
-                    dropped[owner[j]].append(line_no[j])
+                lost = batch.column("__gone").to_pylist() if "__gone" in batch.schema.names else None
+                lines = [(row, *x) for row, data in enumerate(texts) for x in hashed(data, min_chars)]
+                owner, number, h1, h2 = (np.array(c, np.int64) for c in (zip(*lines, strict=True) if lines else ((), (), (), ())))
+                found, last = probe.last_docs(h1, h2)
+                lose = found & (last != ids[owner])
+                dropped: list[set[int]] = [set(b or ()) for b in before]
+                for j in np.flatnonzero(lose).tolist():
+                    dropped[owner[j]].add(int(number[j]))
+                if lost is not None:
+                    sent = [{(g["h1"], g["h2"]) for g in x or ()} for x in lost]
+                    for row, line, a, b in lines:
+                        if (a, b) in sent[row]:
+                            dropped[row].add(line)
                 if not last_pass:
-                    return [texts_as(texts), [0] * len(ids), [0] * len(ids), dropped, [None] * len(ids)]
-                kept, digests = [], []
-                for data, lines, gone in zip(texts, split, dropped, strict=True):
-                    bad = set(gone)
-                    text = b"\n".join(x for n, x in enumerate(lines) if n not in bad)
+                    return [texts_as(texts), [0] * len(ids), [0] * len(ids), [sorted(d) for d in dropped], [None] * len(ids)]
+                kept, digests, sizes = [], [], []
+                for data, bad in zip(texts, dropped, strict=True):
+                    split = (data or b"").split(b"\n")
+                    text = b"\n".join(x for n, x in enumerate(split) if n not in bad)
+                    sizes.append(len(split))
                     digests.append(hashlib.sha256(text).hexdigest())
                     kept.append(None if data is None else text)
-                return [texts_as(kept), list(map(len, split)), list(map(len, dropped)), [sorted(d) for d in dropped], digests]
+                return [texts_as(kept), sizes, list(map(len, dropped)), [sorted(d) for d in dropped], digests]
 
             return run
 
         fields = [
             T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()),
-            T.StructField("dropped_lines", long_list), T.StructField("kept_sha256", T.StringType()),
+            T.StructField("dropped_lines", T.ArrayType(T.LongType())), T.StructField("kept_sha256", T.StringType()),
         ]
         out = attach(out.withColumn("doc_id", F.col("doc_id").cast("bigint")), "text", fields, make, replace_text=True)
         if not last_pass:
             out = stash(out, "probed")
-    return out
-
+    return out.drop("__gone")
 
-def texts_as(values: list[bytes | None]):
-    import pyarrow as pa
 
+def texts_as(values: list[bytes | None]) -> pa.Array:
     return pa.array(values, type=pa.binary()).cast(pa.string())
