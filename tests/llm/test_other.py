@@ -70,7 +70,9 @@ def naive_rule(url):
     return host, path, max(fits, key=lambda x: (len(x.key), len(x.host)), default=None)
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_urls(spark, bound, monkeypatch):
+    monkeypatch.setattr(url_filter, "FILTER_BYTES", bound)  # at 0 no filter fits: the join's turn
     hosts = ["net", "example.net", "a.Example.NET", "xexample.net", "example.com", "b.c.example.com", "org", "y.org", "net.org", "", "é.net", "a..net", "." * 300 + "net"]
     tails = ["", "/", "/en/", "/en", "/de/x?y#z", "/fr/", "?a=/fr/", "#://net/", "/fr/://net/", "/en/" + "x" * 5_000, "\n/fr/"]
     urls = [f"{s}{h}{t}" for s in ("http://", "://", "") for h in hosts for t in tails] + [None, "://", "mailto:x@net", "http://net/", "http://net/"]

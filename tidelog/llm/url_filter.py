@@ -16,7 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import BROADCAST_BYTES
+from tidelog.llm.common import shared_dir, stash, without
+
+#: No filter larger than this is broadcast with the plan.
+FILTER_BYTES = 16 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A cascade halves its keys at each level or so; it ends long before this.
@@ -82,7 +85,7 @@ def build_level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
     """A Bloom filter of the ``n`` keys in column ``key``; ``rate`` of other keys pass."""
     hashes = max(1, round(-math.log2(rate)))
     bits = max(64, 8 * math.ceil(n * -math.log(rate) / (math.log(2) ** 2) / 8))
-    if bits // 8 > BROADCAST_BYTES:
+    if bits // 8 > FILTER_BYTES:
         raise OverflowError(f"a filter of {bits // 8} bytes")
     places = F.array(*[_place(F.col("key"), salt, i, bits) for i in range(hashes)])
     words = keys.select(F.explode(places).alias("at")).groupBy(F.expr("at div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("set"))
@@ -122,28 +125,39 @@ def build_cascade(listed: DataFrame, universe: DataFrame, salt: int = 0) -> list
     raise RuntimeError("the cascade does not end")
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], rule_rows: DataFrame | None = None, otherwise: str = "allow") -> DataFrame:
+def _joined(keyed: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``keyed`` with __best from a plain join of its keys with the rules, for lists too long for a filter."""
+    keyed = stash(keyed.withColumn("__row", F.monotonically_increasing_id()), "urls")
+    listed = keyed.sparkSession.createDataFrame([(r.key, r.verdict) for r in rules], "key string, verdict string").dropDuplicates(["key"])
+    keys = keyed.select("__row", F.explode("__keys").alias("k")).select("__row", "k.*").join(listed, "key")
+    best = keys.groupBy("__row").agg(F.max(F.struct("size", "host_size", "key", "verdict")).alias("__best"))
+    return keyed.join(best, "__row", "left").drop("__row")
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule], otherwise: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule (its key or null) and verdict.
 
     A rule fits its host and all subdomains where the url's path starts with the rule's
     path. The longest key wins; of equally long ones that with the longer host. A null
     url, or one without ``://``, has empty host and path and gets ``otherwise``. Repeated
-    rows are judged alike. Input columns named like a result give way to it. Filters of
-    more than the broadcast bound raise OverflowError in the builder, and the keys are
-    then looked up in a plain join.
+    rows are judged alike. Input columns named like a result give way to it. Where a
+    filter would need more than ``FILTER_BYTES``, the keys are joined with the rules.
     """
-    from tidelog.llm.common import shared_dir, without
-
     shared_dir(pages.sparkSession)
     base = without(pages, ["host", "path", "rule", "verdict"])
     found = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     keyed = found.withColumn("__keys", candidates(F.col("host"), F.col("path"), rules) if rules else F.array())
     spark = pages.sparkSession
     cascades = {}
-    universe = keyed.select(F.explode("__keys.key").alias("key")) if rules else None
-    for i, verdict in enumerate(sorted({r.verdict for r in rules})):
-        listed = spark.createDataFrame([(r.key,) for r in rules if r.verdict == verdict], "key string")
-        cascades[verdict] = build_cascade(listed, universe, salt=1000 * i)
+    if not rules:
+        return found.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(otherwise))
+    universe = keyed.select(F.explode("__keys.key").alias("key"))
+    try:
+        for i, verdict in enumerate(sorted({r.verdict for r in rules})):
+            listed = spark.createDataFrame([(r.key,) for r in rules if r.verdict == verdict], "key string")
+            cascades[verdict] = build_cascade(listed, universe, salt=1000 * i)
+    except OverflowError:
+        cascades = {}
 
     def judged(k: Column) -> Column:
         verdict = F.lit(None).cast("string")
@@ -151,12 +165,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule], rule_rows: DataFrame | None
             verdict = F.when(in_cascade(k["key"], levels), F.lit(name)).otherwise(verdict)
         return F.struct(k["size"].alias("size"), k["host_size"].alias("host_size"), k["key"].alias("key"), verdict.alias("verdict"))
 
-    if not rules:
-        return found.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(otherwise))
     best = F.array_max(F.filter(F.transform("__keys", judged), lambda k: k["verdict"].isNotNull()))
+    keyed = keyed.withColumn("__best", best) if cascades else _joined(keyed, rules)
     return (
-        keyed.withColumn("__best", best)
-        .withColumn("rule", F.col("__best.key"))
+        keyed.withColumn("rule", F.col("__best.key"))
         .withColumn("verdict", F.coalesce(F.col("__best.verdict"), F.lit(otherwise)))
         .drop("__keys", "__best")
     )
