@@ -206,6 +206,8 @@ def labelled_page(seed: int) -> str:
         tags, names = kind[0].split(), kind[1].split()
         tag = tags[0] if r.random() < 0.5 else r.choice(tags)
         own = r.sample(names, r.randint(1, 2)) if r.random() > plain or tag in ("div", "p", "section", "ul", "ol") else []
+        if own and kind is not NEUTRAL and r.random() < 0.2:
+            own.insert(r.randint(0, len(own)), r.choice(NEUTRAL[1].split()))
         attr = f' {r.choice(["class", "class", "id", "role"])}="{r.choice(" -_").join(own)}"' if own else ""
         return f'<{tag}{attr} data-y="{label}">', f"</{tag}>"
 
