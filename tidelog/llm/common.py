@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +105,27 @@ def emit(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[
     return df.mapInArrow(run, kind)
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of equal keys of sorted batches, as tables; one run is held at a time."""
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(change).tolist()] if batch.num_rows else []
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            key = tuple(int(c[start]) for c in columns)
+            if held and key != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(pa.field("element", _arrow(kind.elementType), nullable=True))

@@ -19,10 +19,11 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import emit, stash
+from tidelog.llm.common import emit, runs, stash
 from tidelog.llm.components import components
 
 PROJECTIONS, TUPLES, AXES = 32, 14, 4
@@ -106,8 +107,6 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95, tuples: int = TUPLES,
                 out_id.append(np.repeat(ids[at], tuples))
                 out_t.append(np.tile(np.arange(tuples, dtype=np.int32), len(at)))
                 out_key.append(keys.ravel())
-            import pyarrow as pa
-
             return [pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_t)), pa.array(np.concatenate(out_key))]
 
         return run
@@ -157,35 +156,13 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95, tuples: int = TUPLES,
         return ids[some], n[some].astype(np.int64), ids[root[some]]
 
     def run_blocks(batches):
-        import pyarrow as pa
-
-        held: list = []
-        held_key = None
-
-        def finish():
-            table = pa.Table.from_batches(held)
+        for (t, _, p, q), table in runs(batches, ["t", "key", "p", "q"]):
             order = np.argsort(table["id"].to_numpy(), kind="stable")
-            ids = table["id"].to_numpy()[order]
             rows = table["x"].to_pylist()
-            t, _, p, q = held_key
-            out = meet(t, p == q, ids, table["n"].to_numpy()[order], table["own"].to_numpy()[order] == p, [rows[i] for i in order])
-            return [] if out is None else [pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["id", "n_links", "root"])]
-
-        for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("t", "key", "p", "q")]
-            change = np.zeros(batch.num_rows, bool)
-            for c in columns:
-                change[1:] |= c[1:] != c[:-1]
-            starts = [0, *np.flatnonzero(change).tolist()] if batch.num_rows else []
-            for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-                key = tuple(int(c[start]) for c in columns)
-                if key != held_key and held:
-                    yield from finish()
-                    held = []
-                held_key = key
-                held.append(batch.slice(start, end - start))
-        if held:
-            yield from finish()
+            own = table["own"].to_numpy()[order]
+            out = meet(t, p == q, table["id"].to_numpy()[order], table["n"].to_numpy()[order], own == p, [rows[i] for i in order])
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["id", "n_links", "root"])
 
     # blocks of one length only: the cell key starts from it. Sorted, so that a task holds one pair of blocks at a time
     sorted_work = work.repartition("t", "key", "p", "q").sortWithinPartitions("t", "key", "p", "q")
