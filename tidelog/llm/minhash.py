@@ -21,11 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import emit, raw, stash, words_of
+from tidelog.llm.common import BROADCAST_BYTES, emit, raw, runs, stash, words_of
 from tidelog.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 5
+#: 320 registers; long bands keep documents that merely share a passage out of each other's buckets.
+BANDS, ROWS = 40, 8
+#: Bytes of an id in a broadcast table, at most.
+BROADCAST_ROW = 64
+#: Documents of a bucket in a block, of those outside its largest component and of those within.
+REST_BLOCK, BULK_BLOCK = 256, 1024
+#: Shingles that a task remembers of documents it meets again.
+REMEMBERED = 4_000_000
 #: Shingles that are sketched together, about; bounds memory, not results.
 SLICE = 400_000
 
@@ -167,10 +174,8 @@ def sketch(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int =
     return emit(rows_in, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>", make)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """(a, b, score, linked) of candidate pairs: exact weighted Jaccard similarity of their texts."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stash(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), "texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
@@ -191,19 +196,122 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> D
     return emit(joined, "a bigint, b bigint, score double, linked boolean", make)
 
 
+def bridges(placed: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b): links that join all components that links within buckets join.
+
+    placed: h, id, c (bucket, document, component). In a bucket of several components,
+    the largest one's members (the bulk) are never compared with each other. The rest is
+    split into blocks, which meet each other and the blocks of the bulk; a meeting
+    computes all exact overlaps of its two blocks from the postings of their shingles,
+    and gives one link for each two components that it joins.
+    """
+    counts = placed.groupBy("h", "c").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("h").agg(F.max_by("c", F.struct("n", "c")).alias("bulk"), F.max("n").alias("n_bulk"), F.sum("n").alias("n_all"), F.count("*").alias("cs")).where("cs > 1")
+    rest_blocks = F.ceil((F.col("n_all") - F.col("n_bulk")) / REST_BLOCK).cast("int")
+    bulk_blocks = F.ceil(F.col("n_bulk") / BULK_BLOCK).cast("int")
+    rows = placed.join(mixed.select("h", "bulk", rest_blocks.alias("nr"), bulk_blocks.alias("nb")), "h").withColumn("side", (F.col("c") == F.col("bulk")).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.when(F.col("side") == 1, F.col("nb")).otherwise(F.col("nr"))).cast("int"))
+
+    def meetings(n, make):
+        return F.transform(F.sequence(F.lit(0), n - 1), make)
+
+    def meeting(p, q, kind):
+        return F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), F.lit(kind).alias("kind"))
+
+    own, nr, nb = F.col("own"), F.col("nr"), F.col("nb")
+    of_bulk = meetings(nr, lambda i: meeting(i, own, 1))
+    of_rest = F.concat(meetings(nb, lambda j: meeting(own, j, 1)), meetings(nr, lambda i: meeting(F.least(own, i), F.greatest(own, i), 0)))
+    dealt = rows.withColumn("m", F.explode(F.when(F.col("side") == 1, of_bulk).otherwise(of_rest))).select("h", "id", "c", "side", "own", "m.*")
+    work = dealt.join(texts.withColumnRenamed("doc_id", "id"), "id").repartition("h", "p", "q", "kind").sortWithinPartitions("h", "p", "q", "kind")
+
+    def run(batches):
+        memory: dict[int, np.ndarray] = {}
+        held = 0
+        for (_, p, q, kind), table in runs(batches, ["h", "p", "q", "kind"]):
+            ids, comps, side, own = (table[c].to_numpy() for c in ("id", "c", "side", "own"))
+            text = table["text"]
+            left = np.flatnonzero((side == 0) & (own == p))
+            right = np.flatnonzero(side == 1) if kind else np.flatnonzero(own == q)
+            bags: dict[int, np.ndarray] = {}
+            for i in np.union1d(left, right).tolist():
+                key = int(ids[i])
+                if key not in memory:
+                    memory[key] = elements(words_of((text[i].as_py() or "").encode()), size)
+                    held += len(memory[key])
+                bags[i] = memory[key]
+            if held > REMEMBERED:
+                memory, held = {}, 0
+            links = meet(left, right, ids, comps, bags, lambda i: (text[i].as_py() or "").encode(), size, similarity)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    return work.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def elements(words: list[bytes], size: int) -> np.ndarray:
+    """The multiset of shingles as a set of 64-bit hashes: each of a shingle and the number of its occurrence."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.sort(shingle_hashes(words, size))
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    nth = np.arange(len(h)) - np.repeat(starts, np.diff(np.r_[starts, len(h)]))
+    with np.errstate(over="ignore"):
+        return _mix(h + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
+def meet(left, right, ids, comps, bags: dict, text_of, size: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of pairs from left x right that join two components each.
+
+    Equal shingles have equal hashes, so no overlap is missed; a pair that joins
+    components is verified on its texts.
+    """
+    keys = np.concatenate([bags[i] for i in left.tolist()])
+    owner = np.repeat(np.arange(len(left)), [len(bags[i]) for i in left.tolist()])
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    sizes = np.array([len(bags[i]) for i in left.tolist()])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for j in right.tolist():
+        low = np.searchsorted(keys, bags[j])
+        n = np.searchsorted(keys, bags[j], "right") - low
+        total = int(n.sum())
+        if not total:
+            continue
+        # the postings of all its elements, one after the other
+        at = np.arange(total) + np.repeat(low - (np.cumsum(n) - n), n)
+        overlap = np.bincount(owner[at], minlength=len(left))
+        for place in np.flatnonzero(overlap >= (similarity - 1e-9) * (sizes + len(bags[j]) - overlap)).tolist():
+            i = int(left[place])
+            x, y = find(int(comps[i])), find(int(comps[j]))
+            if x == y or ids[i] == ids[j]:
+                continue
+            a, b = (Counter(shingles_of(words_of(text_of(k)), size)) for k in (i, j))
+            if weighted_jaccard(a, b) >= similarity:
+                root[max(x, y)] = min(x, y)
+                out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a document: doc_id, copy_of (smallest doc_id of the same words), class_id, kept.
 
     Documents are linked where the weighted Jaccard similarity of their shingle multisets
     is ``similarity`` or more and they share a band (at 0.8 and the standard bands one
-    pair in 3,000 does not); classes are the connected components of all links, class_id
+    pair in 1,500 does not, at 0.85 one in 300,000); classes are the connected components of all links, class_id
     the smallest doc_id in one, kept marks it. Texts of equal words are copies and meet as
     one node. Rows that share a doc_id are one document; texts without words, and null
     doc_ids, link with nothing and are kept.
 
     No bucket gives all its pairs. Members are first verified against their bucket's
-    smallest. Then pairs of one bucket that lie in different components are verified as
-    far as the triangle inequality of the Jaccard distance lets them be similar.
+    smallest, which joins most of a group; only documents that then still lie in
+    different components of a bucket are compared, block by block.
     """
     # docs and keys with their bands; one row a key, with the smallest doc_id
     sketched = stash(sketch(docs, size, bands, rows), "sketch")
@@ -212,29 +320,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     banded = groups.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "h")).select("id", F.xxhash64("band", "h").alias("h"))
     pivots = banded.groupBy("h").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top").select("h", "pivot")
     members = stash(banded.join(pivots, "h"), "members")
+    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    if wanted.count() * BROADCAST_ROW < BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)  # else the texts are shuffled once to find those of candidates
+    texts = stash(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), "texts")
     stars = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    scored = stash(verify(stars, docs, size, similarity), "stars").groupBy("a", "b").agg(F.max("score").alias("score"), F.max("linked").alias("linked"))
+    linked = verify(stars, texts, size, similarity).where("linked").select("a", "b")
     copy_links = copies.where("doc_id <> copy_of").select(F.col("doc_id").alias("a"), F.col("copy_of").alias("b"))
-    links = stash(scored.where("linked").select("a", "b").union(copy_links), "links")
+    links = stash(linked.union(copy_links).distinct(), "links")
     found = stash(components(links), "components")
 
-    # pairs of a bucket in different components; both distances to the pivot are known
-    placed = (
-        members.join(found, members["id"] == found["id"], "left").select(members["h"], members["id"], members["pivot"], F.coalesce("component", members["id"]).alias("c"))
-        .join(scored.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "score"), ["id", "pivot"], "left")
-        .select("h", "id", "pivot", "c", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(1 - F.col("score")).alias("d"))
-    )
-    mixed = placed.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
-    rest = stash(placed.where("id <> pivot").join(mixed, "h"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    near = (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - similarity + 1e-9)
-    more = x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = stash(more, "more")
-    if not more.isEmpty():
-        extra = verify(more, docs, size, similarity).where("linked").select("a", "b")
-        extra = stash(extra, "extra")
-        if not extra.isEmpty():
-            found = stash(components(links.union(extra)), "components")
+    # links between different components of a bucket, that no pivot has shown
+    placed = members.join(found, "id", "left").select("h", "id", F.coalesce("component", "id").alias("c"))
+    extra = stash(bridges(placed, texts, size, similarity), "bridges")
+    if not extra.isEmpty():
+        found = stash(components(links.union(extra)), "components")
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
     first_copy = copies.groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"))
     out = ids.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(first_copy, "doc_id", "left")
