@@ -201,8 +201,8 @@ def active_keys(keys: DataFrame, now: int, limit: int = ACTIVE_KEYS) -> DataFram
 def page_after(rows: DataFrame, order: str, after: str, limit: int) -> DataFrame:
     """The next page in keyset order; next_after is the last id if the page is full, else null."""
     page = rows.where(F.col(order) > after).orderBy(order).limit(limit)
-    end = page.agg(F.max(order).alias("last"), F.count("*").alias("n")).select(F.when(F.col("n") == limit, F.col("last")).alias("next_after"))
-    return page.join(F.broadcast(end))  # one row
+    whole = Window.partitionBy(F.lit(0))  # a page
+    return page.withColumn("next_after", F.when(F.count("*").over(whole) == limit, F.max(order).over(whole)))
 
 
 def unexpired(sessions: DataFrame, now: int) -> DataFrame:

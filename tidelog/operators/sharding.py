@@ -64,9 +64,9 @@ def move(ranges: DataFrame, start: int, end: int, to_group: int) -> DataFrame:
     order = Window.orderBy("slot")  # 16,384 rows
     first = F.when((F.lag("group").over(order) == F.col("group")) & (F.lag("slot").over(order) == F.col("slot") - 1), 0).otherwise(1)
     islands = moved.withColumn("first", first).withColumn("island", F.sum("first").over(order))
-    meta = ranges.agg((F.max("version") + 1).alias("version"), F.max("groups").alias("groups"))
+    version, groups = ranges.agg(F.max("version") + 1, F.max("groups")).first()
     out = islands.groupBy("island").agg(F.min("slot").alias("start"), (F.max("slot") + 1).alias("end"), F.first("group").cast("bigint").alias("group"))
-    return out.drop("island").join(F.broadcast(meta)).select("version", "groups", "start", "end", "group")  # one row
+    return out.select(F.lit(version).cast("bigint").alias("version"), F.lit(groups).cast("bigint").alias("groups"), "start", "end", "group")
 
 
 def any_key_in(state: DataFrame, start: int, end: int) -> DataFrame:
