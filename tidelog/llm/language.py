@@ -26,8 +26,8 @@ SMOOTH = 0.02
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longer words are cut into parts of so many characters, so that products stay in range.
 PART = 24
-#: Words whose likelihoods a task remembers; beyond it the memory is emptied, results are the same.
-REMEMBERED = 150_000
+#: Words whose likelihoods a worker remembers; beyond it the memory is emptied, results are the same.
+REMEMBERED = 500_000
 CHUNK = 4_096
 
 
@@ -40,87 +40,111 @@ def vocabulary(model_file: str = MODEL) -> list[str]:
 
 
 class Lattice:
-    """Edges (word, start, end, piece) of all segmentations of a list of words."""
+    """Edges (word, start, end, piece) of all segmentations of a list of words, from a trie of the pieces.
+
+    The trie is one sorted array of (node, character) keys; all starts of all words go
+    down it together, a character at a time.
+    """
 
     def __init__(self, pieces: dict[str, int]):
-        self.pieces = pieces
-        self.longest = max((len(p) for p in pieces if not p.startswith("<0x")), default=1)
+        plain = {p: i for p, i in pieces.items() if not (p.startswith("<0x") and p.endswith(">"))}
         self.byte = [pieces.get(f"<0x{b:02X}>", -1) for b in range(256)]
-
-    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, np.ndarray]:
-        """Word, start and end of each edge, its pieces (one, or the bytes of a character), and each word's length."""
-        get, longest = self.pieces.get, self.longest
-        word, start, end, piece, lengths = [], [], [], [], []
-        for n, w in enumerate(words):
-            size = len(w)
-            lengths.append(size)
-            for i in range(size):
-                if (p := get(w[i])) is None:
-                    word.append(n)
-                    start.append(i)
-                    end.append(i + 1)
-                    piece.append(tuple(self.byte[b] for b in w[i].encode()))
-                else:
-                    word.append(n)
-                    start.append(i)
-                    end.append(i + 1)
-                    piece.append(p)
-                for j in range(i + 2, min(size, i + longest) + 1):
-                    if (p := get(w[i:j])) is not None:
-                        word.append(n)
-                        start.append(i)
-                        end.append(j)
-                        piece.append(p)
-        return np.array(word, np.int64), np.array(start, np.int64), np.array(end, np.int64), piece, np.array(lengths, np.int64)
-
-
-def _weights(piece: list, prob: np.ndarray) -> np.ndarray:
+        nodes, keys, ends = {"": 0}, [], {}
+        for p, i in plain.items():
+            for j in range(1, len(p) + 1):
+                if p[:j] not in nodes:
+                    nodes[p[:j]] = len(nodes)
+                    keys.append((nodes[p[: j - 1]] << 21 | ord(p[j - 1]), nodes[p[:j]]))
+            ends[nodes[p]] = i
+        keys.sort()
+        self.keys = np.array([k for k, _ in keys], np.int64)
+        self.next = np.array([n for _, n in keys], np.int64)
+        self.piece = np.full(len(nodes), -1, np.int64)
+        self.piece[list(ends)] = list(ends.values())
+
+    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list, np.ndarray]:
+        """Word, start, end and piece of each edge (piece -1: the byte pieces, in order), and each word's length."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        text = "".join(words)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(len(words)), lengths)
+        limit = np.cumsum(lengths)[owner] if len(words) else owner
+        begin = np.arange(len(codes))
+        at, node, depth = begin, np.zeros(len(codes), np.int64), 0
+        starts, ends, found = [], [], []
+        alone = np.ones(len(codes), bool)
+        while len(at):
+            key = node << 21 | codes[at + depth]
+            spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ok = self.keys[spot] == key
+            at, node = at[ok], self.next[spot[ok]]
+            depth += 1
+            piece = self.piece[node]
+            hit = piece >= 0
+            starts.append(at[hit])
+            ends.append(at[hit] + depth)
+            found.append(piece[hit])
+            if depth == 1:
+                alone[at[hit]] = False
+            more = at + depth < limit[at]
+            at, node = at[more], node[more]
+        odd = np.flatnonzero(alone)
+        start, end = np.concatenate([*starts, odd]), np.concatenate([*ends, odd + 1])
+        word = owner[start]
+        offset = (np.cumsum(lengths) - lengths)[word] if len(words) else word
+        spelt = [tuple(self.byte[b] for b in text[i].encode("utf-8", "surrogatepass")) for i in odd.tolist()]
+        return word, start - offset, end - offset, np.concatenate([*found, np.full(len(odd), -1)]), spelt, lengths
+
+
+def _weights(piece: np.ndarray, spelt: list, prob: np.ndarray) -> np.ndarray:
     """Edges x languages; a character of several byte pieces has their product."""
-    single = np.array([p if isinstance(p, int) else 0 for p in piece], np.int64)
-    out = prob[single]
-    for i, p in enumerate(piece):
-        if not isinstance(p, int):
-            out[i] = prob[list(p)].prod(axis=0)
+    out = prob[piece]
+    for i, p in zip(np.flatnonzero(piece < 0), spelt, strict=True):
+        out[i] = prob[list(p)].prod(axis=0)
     return out
 
 
+def _add(out: np.ndarray, row: np.ndarray, value: np.ndarray) -> None:
+    """Sum values by row; rows come in order."""
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    out[row[first]] = np.add.reduceat(value, first, axis=0)
+
+
 def forward(lattice: Lattice, words: list[str], prob: np.ndarray):
     """Words x languages: likelihoods summed over all segmentations; and what backward needs."""
-    word, start, end, piece, lengths = lattice.edges(words)
-    weight = _weights(piece, prob)
+    word, start, end, piece, spelt, lengths = lattice.edges(words)
+    weight = _weights(piece, spelt, prob)
     size = int(lengths.max()) if len(lengths) else 0
     alpha = np.zeros((size + 1, len(words), prob.shape[1]))
     alpha[0] = 1
-    order = np.argsort(end, kind="stable")
+    order = np.lexsort((word, end))
     bounds = np.searchsorted(end[order], np.arange(1, size + 2))
     for pos in range(1, size + 1):
         at = order[bounds[pos - 1] : bounds[pos]]
         if len(at):
-            np.add.at(alpha[pos], word[at], alpha[start[at], word[at]] * weight[at])
+            _add(alpha[pos], word[at], alpha[start[at], word[at]] * weight[at])
     total = alpha[lengths, np.arange(len(words))] if len(words) else np.zeros((0, prob.shape[1]))
-    return total, (word, start, end, piece, lengths, weight, alpha)
+    return total, (word, start, end, piece, spelt, lengths, weight, alpha)
 
 
 def expected(lattice: Lattice, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """Expected piece counts (V) of one language: prob is V x 1, counts are the words' counts."""
-    total, (word, start, end, piece, lengths, weight, alpha) = forward(lattice, words, prob)
+    total, (word, start, end, piece, spelt, lengths, weight, alpha) = forward(lattice, words, prob)
     size = alpha.shape[0] - 1
     beta = np.zeros_like(alpha)
     beta[lengths, np.arange(len(words))] = 1
-    order = np.argsort(start, kind="stable")
+    order = np.lexsort((word, start))
     bounds = np.searchsorted(start[order], np.arange(0, size + 1))
     for pos in range(size - 1, -1, -1):
         at = order[bounds[pos] : bounds[pos + 1]]
         if len(at):
-            np.add.at(beta[pos], word[at], beta[end[at], word[at]] * weight[at])
+            _add(beta[pos], word[at], beta[end[at], word[at]] * weight[at])
     post = alpha[start, word, 0] * weight[:, 0] * beta[end, word, 0] / np.maximum(total[word, 0], 1e-300) * counts[word]
-    out = np.zeros(len(prob))
-    for p, x in zip(piece, post.tolist(), strict=True):
-        if isinstance(p, int):
-            out[p] += x
-        else:
-            for b in p:
-                out[b] += x
+    plain = piece >= 0
+    out = np.bincount(piece[plain], post[plain], len(prob))
+    for p, x in zip(spelt, post[~plain].tolist(), strict=True):
+        for b in p:
+            out[b] += x
     return out
 
 
@@ -210,15 +234,16 @@ def identify(docs: DataFrame, per_language: int = SAMPLE, model_file: str = MODE
     sc = docs.sparkSession.sparkContext
     held = sc.broadcast(np.exp(log_prob))
     table = sc.broadcast({p: i for i, p in enumerate(vocabulary(model_file))})
+    # a worker keeps a broadcast's value from task to task: its words' likelihoods stay there, computed once a worker
+    memory = sc.broadcast({"rows": {}, "known": np.zeros((1 << 14, len(langs) + 1))})
     k = len(langs)
 
     def make():
-        lattice, prob = Lattice(table.value), held.value
-        rows: dict[bytes, int] = {}
-        known = np.zeros((1 << 14, k + 1))
+        memo, prob = memory.value, held.value
+        lattice = memo.get("lattice") or memo.setdefault("lattice", Lattice(table.value))
+        rows: dict[bytes, int] = memo["rows"]
 
         def learn(new: list[bytes]) -> None:
-            nonlocal known
             for i in range(0, len(new), CHUNK):
                 part = new[i : i + CHUNK]
                 split = [(n, s) for n, w in enumerate(part) for s in parts_of(w.decode())]
@@ -228,9 +253,9 @@ def identify(docs: DataFrame, per_language: int = SAMPLE, model_file: str = MODE
                     owner = np.array([n for n, _ in split])
                     np.add.at(value[:, :k], owner, np.log(np.maximum(total, 1e-300)))
                     value[owner, k] = 1
-                need = len(rows) + len(part)
+                known, need = memo["known"], len(rows) + len(part)
                 if need > len(known):
-                    known = np.concatenate([known, np.zeros((max(need - len(known), len(known)), k + 1))])
+                    memo["known"] = known = np.concatenate([known, np.zeros((max(need - len(known), len(known)), k + 1))])
                 known[len(rows) : need] = value
                 for w in part:
                     rows[w] = len(rows)
@@ -243,8 +268,8 @@ def identify(docs: DataFrame, per_language: int = SAMPLE, model_file: str = MODE
                     rows.clear()
                 new = list({w for w in c if w not in rows})
                 if new:
-                    learn(new)
-                ll = known[[rows[w] for w in c]].sum(axis=0) if c else np.zeros(k + 1)
+                    learn(sorted(new))
+                ll = memo["known"][[rows[w] for w in c]].sum(axis=0) if c else np.zeros(k + 1)
                 if not k or not ll[k]:
                     pred.append("und")
                     score.append(0.0)
