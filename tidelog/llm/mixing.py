@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,7 @@ SAMPLE = 4_000
 VOCABULARY = 40_000
 DISCOUNT = 3.0
 FOLDS = 4
-STEPS, TOLERANCE = 60, 1e-6
+STEPS, TOLERANCE = 40, 1e-5
 
 
 def tokens_of(data: bytes | None) -> list[bytes]:
@@ -156,28 +157,39 @@ def fit_rates(members: DataFrame, target: np.ndarray) -> tuple[list[np.ndarray],
     """Steps of the projected gradient, and the domain totals they lead to.
 
     members: n_tokens, posterior. target: wanted expected tokens of each domain. The
-    squared distance is weighted by the inverse of the documents' second moments, so that
-    a step of one is safe and small domains converge as fast as large ones.
+    squared distance is weighted by the inverse second moments of the documents whose
+    rates are free (above zero), so that small domains converge as fast as large ones; a
+    step that makes the distance larger halves those after it. Every pass sums k totals
+    and k * k moments, whatever the number of documents.
     """
     k = len(target)
 
-    def sums(rate: Column, *more: Column) -> list:
-        return list(members.agg(*[F.sum(F.col("n_tokens") * rate * F.col("posterior")[i]).alias(f"a{i}") for i in range(k)], *more).first())
+    def passed(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rated = members.withColumn("rate", rate_of(F.col("posterior"), steps))
+        p, t = F.col("posterior"), F.col("n_tokens")
+        free = F.when(F.col("rate") > 0, t).otherwise(0)
+        totals = [F.sum(t * F.col("rate") * p[i]).alias(f"a{i}") for i in range(k)]
+        moments = [F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]
+        row = [x or 0.0 for x in rated.agg(*totals, *moments).first()]
+        return np.array(row[:k], float), np.array(row[k:], float).reshape(k, k)
 
-    moments = [F.sum(F.col("n_tokens") * F.col("posterior")[i] * F.col("posterior")[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]
-    row = [x or 0.0 for x in sums(F.lit(1.0), *moments)]
-    reached, second = np.array(row[:k], float), np.array(row[k:], float).reshape(k, k)
-    inverse = np.linalg.pinv(second, rcond=1e-9, hermitian=True)
+    return descend(passed, target)
+
+
+def descend(passed: Callable, target: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The steps up to the best totals; ``passed`` gives totals and free moments after steps."""
     steps: list[np.ndarray] = []
-    best = (math.inf, 0, reached)
+    reached, second = passed(steps)
+    best, scale, before = (math.inf, 0, reached), 1.0, math.inf
     for _ in range(STEPS):
-        error = np.abs(reached - target).sum() / max(target.sum(), 1e-9)
+        error = float(np.abs(reached - target).sum() / max(target.sum(), 1e-9))
         if error < best[0]:
             best = (error, len(steps), reached)
         if error <= TOLERANCE:
             break
-        steps.append(inverse @ (reached - target))
-        reached = np.array([x or 0.0 for x in sums(rate_of(F.col("posterior"), steps))], float)
+        scale, before = scale / 2 if error > before else scale, error
+        steps.append(scale * (np.linalg.pinv(second, rcond=1e-9, hermitian=True) @ (reached - target)))
+        reached, second = passed(steps)
     return steps[: best[1]], best[2]
 
 
