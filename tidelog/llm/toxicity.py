@@ -152,8 +152,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut
 
     docs: doc_id, text; labels: doc_id, toxic (0 or 1). Labels of held-out ids (crc32 of
     the id as text leaves 2 when divided by 4) are never read. Null, empty and wordless
-    texts have llr 0 and the score of that. Without labelled rows of both classes every
-    score is the share of label 1. Input columns named like a result give way to it.
+    texts have llr 0 and the score of that. Where the labels teach no difference between
+    texts (none or one class of them, too few, or wordless texts) every score is the share
+    of label 1, 0.5 without labels, and predicted is 0: that share is no evidence against
+    any one text. Input columns named like a result give way to it.
     """
     spark = docs.sparkSession
     rows = sample_rows(docs, labels, "toxic", sample)
@@ -174,8 +176,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut
         return run
 
     seen = emit(rows, "y int, weight double, totals array<double>, n bigint", cross).orderBy("n", "y", "weight", "totals").toPandas()
-    beta, discount, power = np.zeros(2), DISCOUNTS[0], 1.0
     y, weight = seen["y"].to_numpy(float), seen["weight"].to_numpy(float)
+    toxic, clean = (weight * y).sum(), (weight * (1 - y)).sum()
+    beta, discount, power = np.array([math.log((toxic + 0.5) / (clean + 0.5)), 0.0]), DISCOUNTS[0], 1.0
     if 0 < y.sum() < len(y):
         totals, best = np.array(seen["totals"].tolist()), math.inf
         for (i, d), e in product(enumerate(DISCOUNTS), POWERS):
@@ -185,8 +188,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut
             loss = -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
             if loss < best and b[1] > 0:
                 best, beta, discount, power = loss, b, d, e
-    elif len(y):
-        beta = np.array([math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0])
+    bound = cut if beta[1] > 0 else math.inf
     final = spark.sparkContext.broadcast(word_ratios(counts.sum(1), shared, discount)[:, None])
 
     def make():
@@ -194,7 +196,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut
             total, sizes = ratios(raw(batch, "text"), ids.value, final.value)
             x = features(total[:, 0], sizes, power)
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
-            return [total[:, 0] / np.maximum(sizes, 1), p, (p >= cut).astype(np.int32)]
+            return [total[:, 0] / np.maximum(sizes, 1), p, (p >= bound).astype(np.int32)]
 
         return run
 
