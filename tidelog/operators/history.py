@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Recorded output of a read that found nothing, and what parts the two values of a cas: fixed values of the format.
 ABSENT, CAS_SEPARATOR = "<absent>", "\x00"
 NODE_BUDGET = 5_000_000
-WRITES = ("set", "incrby", "cas")
+WRITES = ("set", "delete", "incrby", "cas")
 
 
 def nearest_rank(p: float, value: str) -> Column:
@@ -101,6 +101,8 @@ def after(kind: str, given: str, state: str | None) -> tuple[str | None, str | N
     """The value after an operation, and the output it must have shown; output None: it cannot have succeeded."""
     if kind == "set":
         return given, ""
+    if kind == "delete":
+        return None, ""
     if kind == "get":
         return state, ABSENT if state is None else state
     if kind == "incrby":
