@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.operators import kv_log
 
@@ -11,54 +15,110 @@ from tidelog.operators import kv_log
 CAPACITY = 65_536
 
 
-def decide(log: DataFrame) -> DataFrame:
-    """``log`` with decision: apply, duplicate or stale. Commands without a client always apply.
+def _judged(log: DataFrame, capacity: int) -> DataFrame:
+    """``log`` with decision, source (log_index of the client's last applied command before) and birth (of its session).
 
-    The last applied sequence is a running maximum, since only larger ones are recorded.
+    In a group that never has more clients than ``capacity`` nobody is forgotten, and the
+    last applied sequence is a running maximum, since only larger ones are recorded. Other
+    groups go through the table in order, see ``_streamed``.
     """
+    large = fits(log, capacity).where(~F.col("fits")).select("group_id")
+    if large.isEmpty():
+        return _windowed(log)
+    rest = log.join(large, "group_id", "left_anti").select(*log.columns)
+    return _windowed(rest).unionByName(_streamed(log.join(large, "group_id", "left_semi").select(*log.columns), capacity))
+
+
+def _windowed(log: DataFrame) -> DataFrame:
     before = Window.partitionBy("group_id", "client_id").orderBy("log_index").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.coalesce(F.max("seq").over(before), F.lit(0))
+    last = F.max("seq").over(before)
     anonymous = F.coalesce(F.col("client_id"), F.lit("")) == ""
-    return log.withColumn("decision", F.when(anonymous | (F.col("seq") > last), "apply").when(F.col("seq") == last, "duplicate").otherwise("stale"))
+    decision = F.when(anonymous | last.isNull() | (F.col("seq") > last), "apply").when(F.col("seq") == last, "duplicate").otherwise("stale")
+    decided = log.withColumn("decision", decision)
+    source = F.last(F.when(F.col("decision") == "apply", F.col("log_index")), ignorenulls=True).over(before)
+    birth = F.coalesce(F.min("log_index").over(before), F.col("log_index"))
+    return decided.select("*", F.when(~anonymous, source).alias("source"), F.when(~anonymous, birth).alias("birth"))
 
 
-def apply_once(log: DataFrame) -> DataFrame:
+def _streamed(log: DataFrame, capacity: int) -> DataFrame:
+    """The session table itself, one group after the other: a task holds ``capacity`` sessions and a batch of rows.
+
+    A full table forgets its oldest session when a new client comes; who comes back is new.
+    """
+    schema = T.StructType([*log.schema, T.StructField("decision", T.StringType()), T.StructField("source", T.LongType()), T.StructField("birth", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sessions = None, {}  # client: [last seq, source, birth], in order of birth
+        for batch in batches:
+            decisions, sources, births = [], [], []
+            for g, client, seq, index in zip(*(batch.column(c).to_pylist() for c in ("group_id", "client_id", "seq", "log_index")), strict=True):
+                if g != group:
+                    group, sessions = g, {}
+                known = sessions.get(client) if client else None
+                decision = "apply" if known is None or seq > known[0] else "duplicate" if seq == known[0] else "stale"
+                decisions.append(decision)
+                sources.append(known and known[1])
+                if client and known is None:
+                    if len(sessions) >= capacity:
+                        del sessions[next(iter(sessions))]
+                    known = sessions[client] = [seq, index, index]
+                elif client and decision == "apply":
+                    known[0], known[1] = seq, index
+                births.append(known and known[2])
+            new = [pa.array(decisions, pa.string()), pa.array(sources, pa.int64()), pa.array(births, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+
+    return log.repartition("group_id").sortWithinPartitions("group_id", "log_index").mapInArrow(run, schema)
+
+
+def decide(log: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``log`` with decision: apply, duplicate or stale. Commands without a client always apply, as does a new client's first."""
+    return _judged(log, capacity).drop("source", "birth")
+
+
+def apply_once(log: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Every command's result: new ones fold, repeats get the first result back, stale ones an error."""
-    decided = decide(log)
-    fresh = decided.where("decision = 'apply'")
-    results = kv_log.apply_results(fresh.drop("decision")).select("group_id", "log_index", "applied", F.col("value").alias("result"), "error")
-    first = fresh.select("group_id", "log_index", "client_id", "seq").join(results, ["group_id", "log_index"])
-    cached = first.where("client_id <> ''").select("group_id", "client_id", "seq", "applied", "result", "error")
-    base = decided.select("group_id", "log_index", "client_id", "seq", "key", "op", "decision")
-    new = base.where("decision = 'apply'").join(results, ["group_id", "log_index"])
-    again = base.where("decision = 'duplicate'").join(cached, ["group_id", "client_id", "seq"])
-    stale = base.where("decision = 'stale'").select("*", F.lit(False).alias("applied"), F.lit(None).cast("binary").alias("result"), F.lit("stale_sequence").alias("error"))
+    return _results(log, capacity).drop("birth")
+
+
+def _results(log: DataFrame, capacity: int) -> DataFrame:
+    decided = _judged(log, capacity)
+    fresh = decided.where("decision = 'apply'").select(*log.columns)
+    results = kv_log.apply_results(fresh).select("group_id", "log_index", "applied", F.col("value").alias("result"), "error")
+    base = decided.select("group_id", "log_index", "client_id", "seq", "key", "op", "decision", "source", "birth")
+    new = base.where("decision = 'apply'").drop("source").join(results, ["group_id", "log_index"])
+    again = base.where("decision = 'duplicate'").join(results.withColumnRenamed("log_index", "source"), ["group_id", "source"]).drop("source")
+    stale = base.where("decision = 'stale'").drop("source").select("*", F.lit(False).alias("applied"), F.lit(None).cast("binary").alias("result"), F.lit("stale_sequence").alias("error"))
     return new.unionByName(again).unionByName(stale)
 
 
-def table(log: DataFrame) -> DataFrame:
+def table(log: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The session table after the log: last sequence of each client, with its cached result and birth."""
-    results = apply_once(log).where("decision = 'apply' and client_id <> ''")
-    last = results.groupBy("group_id", "client_id").agg(
-        F.max_by(F.struct("seq", "applied", "result", "error"), "log_index").alias("r"), F.min("log_index").alias("birth")
-    )
-    return last.select("group_id", "client_id", F.col("r.seq").alias("last_seq"), "r.applied", "r.result", "r.error", "birth")
+    results = _results(log, capacity).where("decision = 'apply' and client_id <> ''")
+    last = results.groupBy("group_id", "client_id", "birth").agg(F.max_by(F.struct("seq", "applied", "result", "error"), "log_index").alias("r"))
+    live = last.withColumn("age", _age()).where(F.col("age") <= capacity)
+    return live.select("group_id", "client_id", F.col("r.seq").alias("last_seq"), "r.applied", "r.result", "r.error", "birth")
+
+
+def _age() -> Column:
+    """Rank of a session in its group, the youngest 1. The oldest goes first, so those up to the capacity live."""
+    return F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("birth")))
 
 
 def evicted(log: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Clients that the table has to forget: all but the ``capacity`` youngest by birth in each group.
+    """Sessions that the table forgot: a client that comes back is born again, and may be forgotten again."""
+    births = _judged(log, capacity).where("client_id <> ''").select("group_id", "client_id", "birth").distinct()
+    return births.withColumn("age", _age()).where(F.col("age") > capacity).drop("age")
 
-    Births only grow and a full table forgets its oldest, so without returning clients the
-    survivors are the youngest; clients that return after they were forgotten are born
-    again and need the sequential table, hence ``fits`` guards the exact path.
-    """
-    births = decide(log).where("decision = 'apply' and client_id <> ''").groupBy("group_id", "client_id").agg(F.min("log_index").alias("birth"))
-    youngest = Window.partitionBy("group_id").orderBy(F.desc("birth"))
-    return births.withColumn("age", F.row_number().over(youngest)).where(F.col("age") > capacity).drop("age")
+
+def oldest_clients(log: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """All but the ``capacity`` youngest clients by first birth in each group: ``evicted`` if no client comes back."""
+    births = log.where("client_id <> ''").groupBy("group_id", "client_id").agg(F.min("log_index").alias("birth"))
+    return births.withColumn("age", _age()).where(F.col("age") > capacity).drop("age")
 
 
 def fits(log: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """group_id, clients, fits: whether dedup without eviction is exact."""
+    """group_id, clients, fits: whether no client is ever forgotten."""
     return log.where("client_id <> ''").groupBy("group_id").agg(F.countDistinct("client_id").alias("clients")).withColumn("fits", F.col("clients") <= capacity)
 
 

@@ -60,11 +60,11 @@ def session_decisions(log: DataFrame) -> DataFrame:
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("log_index")
-        last = state.get[0] if state.exists else 0
+        last = state.get[0] if state.exists else None
         out = []
         for seq in rows["seq"].tolist():
-            out.append("apply" if not key[1] or seq > last else "duplicate" if seq == last else "stale")
-            last = max(last, seq)
+            out.append("apply" if not key[1] or last is None or seq > last else "duplicate" if seq == last else "stale")
+            last = seq if last is None else max(last, seq)
         state.update((last,))
         yield pd.DataFrame({"group_id": key[0], "client_id": key[1], "log_index": rows["log_index"].to_numpy(), "seq": rows["seq"].to_numpy(), "decision": out})
 
