@@ -10,8 +10,12 @@ independently: only the commands between two of them are gathered into one array
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OPS = ("set", "delete", "cas", "incr", "get", "exists")
 
@@ -112,18 +116,27 @@ def decrement_if_positive(log: DataFrame) -> DataFrame:
     """Results of a log in which an incr of -1 applies only while the counter is above zero.
 
     ``incr`` commands with a negative delta that would go below zero are refused with
-    error ``below_zero``; others apply. Keys hold counters alone.
+    error ``below_zero``, those beyond a bigint with ``overflow`` and those without a delta with
+    ``not_integer``; others apply. Keys hold counters alone. A key's sorted commands stream past
+    its counter, so no key is gathered.
     """
-    command = F.struct("log_index", "delta")
-    out = "array<struct<log_index:bigint,applied:boolean,total:bigint>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("v"), F.array().cast(out).alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        total = acc["v"] + c["delta"]
-        ok = (c["delta"] >= 0) | (total >= 0)
-        after = F.when(ok, total).otherwise(acc["v"])
-        one = F.struct(c["log_index"].alias("log_index"), ok.alias("applied"), after.alias("total"))
-        return F.struct(after.alias("v"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    grouped = log.groupBy("group_id", "key").agg(F.array_sort(F.collect_list(command)).alias("commands"))
-    return grouped.select("group_id", "key", F.explode(F.aggregate("commands", zero, step)["out"]).alias("r")).select("group_id", "key", "r.*")
+    top = 2**63 - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, 0
+        for batch in batches:
+            out = []
+            for *key, delta in zip(*(batch.column(c).to_pylist() for c in ("group_id", "key", "delta")), strict=True):
+                if key != now:
+                    now, total = key, 0
+                error = "not_integer" if delta is None else "below_zero" if delta < 0 and total + delta < 0 else "overflow" if total + delta > top else None
+                if error is None:
+                    total += delta
+                out.append((error is None, total, error))
+            new = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.bool_(), pa.int64(), pa.string()), strict=True)] if out else []
+            if new:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], names=["group_id", "key", "log_index", "applied", "total", "error"])
+
+    rows = log.select("group_id", "key", "log_index", "delta").repartition("group_id", "key").sortWithinPartitions("group_id", "key", "log_index")
+    kinds = [T.StructField("applied", T.BooleanType()), T.StructField("total", T.LongType()), T.StructField("error", T.StringType())]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:3], *kinds]))

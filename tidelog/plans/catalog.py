@@ -141,6 +141,12 @@ def kv_decrement_if_positive(spark, sf_dir):
     return kv_log.decrement_if_positive(log).select("key", "log_index", "applied", "total")
 
 
+@query()
+def kv_decrement_whole(spark, sf_dir):
+    """The same over every increment: the SQL above leaves out the large ones, which can overflow."""
+    return kv_log.decrement_if_positive(views.oplog(spark, sf_dir).where("op = 'incr'")).select("key", "log_index", "applied", "total", "error")
+
+
 # ---- B: sessions ------------------------------------------------------------------------------------------------------
 
 _DECIDED = sql("oplog", recursive=True) + """,
