@@ -6,10 +6,13 @@ bucket (seconds, an hour's start), kind (req, rate, conc), op, status, count.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOUR, DAY = 3600, 86400
 #: Upper bounds of the latency histogram in seconds: fixed values.
@@ -150,26 +153,32 @@ def latest_replica(reports: DataFrame) -> DataFrame:
 def token_bucket(requests: DataFrame, rate: float, burst: int) -> DataFrame:
     """tenant, ts, request_id, allowed, retry_after (seconds): a bucket a tenant, refilled by time, one token a request.
 
-    Saturation makes it an ordered fold; a tenant's requests are folded by hour-long
-    sessions: where a bucket has surely refilled (burst / rate seconds without a request),
-    the fold starts anew, so no array holds more than a busy spell.
+    Saturation makes it an ordered fold: a tenant's sorted requests stream past its bucket,
+    and only the tokens and the last time are carried, however many requests there are.
     """
-    order = Window.partitionBy("tenant").orderBy("ts", "request_id")
-    gap = F.col("ts") - F.lag("ts").over(order)
-    spells = requests.withColumn("spell", F.sum(F.when(gap.isNull() | (gap * rate >= burst), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = spells.groupBy("tenant", "spell").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("double").alias("ts"), "request_id"))).alias("r"))
-    kind = "array<struct<ts:double,request_id:bigint,allowed:boolean,retry_after:double>>"
-    zero = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        passed = F.greatest(F.coalesce(r["ts"] - acc["last"], F.lit(0.0)), F.lit(0.0))
-        tokens = F.least(F.lit(float(burst)), acc["tokens"] + passed * rate)
-        ok = tokens >= 1
-        one = F.struct(r["ts"].alias("ts"), r["request_id"].alias("request_id"), ok.alias("allowed"), F.when(~ok, (1 - tokens) / rate).alias("retry_after"))
-        return F.struct(F.when(ok, tokens - 1).otherwise(tokens).alias("tokens"), r["ts"].alias("last"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    out = rows.select("tenant", F.explode(F.aggregate("r", zero, step)["out"]).alias("o"))
-    return out.select("tenant", F.col("o.ts").cast("bigint").alias("ts"), "o.request_id", "o.allowed", "o.retry_after")
+    full = float(burst)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, tenant, last, tokens = False, None, None, full
+        for batch in batches:
+            allowed, retry = [], []
+            for who, ts in zip(batch.column("tenant").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                if not started or who != tenant:
+                    started, tenant, last, tokens = True, who, None, full
+                passed = 0.0 if ts is None or last is None else max(ts - last, 0.0)
+                tokens, last = min(full, tokens + passed * rate), ts
+                allowed.append(tokens >= 1)
+                retry.append(None if tokens >= 1 or not rate else (1 - tokens) / rate)
+                tokens -= tokens >= 1
+            new = [pa.array(allowed, pa.bool_()), pa.array(retry, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "allowed", "retry_after"])
+
+    at = F.col("ts").cast("double").alias("at")
+    rows = requests.select("tenant", at, F.col("request_id").cast("bigint").alias("request_id")).repartition("tenant").sortWithinPartitions("tenant", "at", "request_id")
+    names = rows.columns
+    kinds = [T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.DoubleType())]
+    out = rows.mapInArrow(run, T.StructType([*rows.schema, *kinds]))
+    return out.select("tenant", F.col("at").cast("bigint").alias("ts"), "request_id", "allowed", "retry_after")
 
 
 def concurrency(requests: DataFrame) -> DataFrame:
