@@ -70,6 +70,25 @@ def naive_rule(url):
     return host, path, max(fits, key=lambda x: (len(x.key), len(x.host)), default=None)
 
 
+def test_vector_recall(spark):
+    """Pairs at the bound itself: as many are found as the constants promise, whatever the depth of the lists."""
+    r = np.random.default_rng(1)
+    n, size = 1_500, 32
+    a = r.standard_normal((n, size))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z = r.standard_normal((n, size))
+    z -= (z * a).sum(1, keepdims=True) * a
+    b = 0.9501 * a + np.sqrt(1 - 0.9501**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    rows = [(2 * i + k, v[i].tolist()) for i in range(n) for k, v in enumerate((a, b))]
+    for meetings in (vector_dedup.MEETINGS, 1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(vector_dedup, "MEETINGS", meetings)
+            out = vector_dedup.link_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+            assert out.where("n_links > 0").count() >= 0.99 * 2 * n
+    assert vector_dedup.plan(10**6, 0.95)[1] > vector_dedup.plan(10**3, 0.95)[1]
+    assert vector_dedup.link_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
 @pytest.mark.parametrize("bound", [1 << 20, 0])
 def test_urls(spark, bound, monkeypatch):
     monkeypatch.setattr(url_filter, "FILTER_BYTES", bound)  # at 0 no filter fits: the join's turn
