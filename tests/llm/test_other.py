@@ -1,6 +1,7 @@
 """Vectors, urls, chats, mixing, components, the pipeline."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -89,9 +90,7 @@ def test_vector_recall(spark):
     assert vector_dedup.link_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
-@pytest.mark.parametrize("bound", [1 << 20, 0])
-def test_urls(spark, bound, monkeypatch):
-    monkeypatch.setattr(url_filter, "FILTER_BYTES", bound)  # at 0 no filter fits: the join's turn
+def test_urls(spark):
     hosts = ["net", "example.net", "a.Example.NET", "xexample.net", "example.com", "b.c.example.com", "org", "y.org", "net.org", "", "é.net", "a..net", "." * 300 + "net"]
     tails = ["", "/", "/en/", "/en", "/de/x?y#z", "/fr/", "?a=/fr/", "#://net/", "/fr/://net/", "/en/" + "x" * 5_000, "\n/fr/"]
     urls = [f"{s}{h}{t}" for s in ("http://", "://", "") for h in hosts for t in tails] + [None, "://", "mailto:x@net", "http://net/", "http://net/"]
@@ -113,6 +112,22 @@ def test_cascade_is_exact(spark):
     assert len(levels) >= 2
     got = {r.key for r in universe.where(url_filter.in_cascade(F.col("key"), levels)).collect()}
     assert got == {r.key for r in listed.collect()}
+    # each level halves, about, the keys of the level two before it
+    sizes = [x.bits * math.log(2) ** 2 / -math.log(0.5) for x in levels[1:]]
+    assert all(b < 0.8 * a for a, b in zip(sizes, sizes[2:], strict=False) if a > 150) and len(levels) < 16
+
+
+def test_sharded_cascade_is_exact(spark, monkeypatch):
+    """A list too long for one filter: every key asks the cascade of its shard."""
+    monkeypatch.setattr(url_filter, "FILTER_BYTES", 16)
+    hosts = [f"h{i}.com" for i in range(500)]
+    rules = [url_filter.Rule(h, "/", "block" if i % 3 else "allow") for i, h in enumerate(hosts) if i % 2] + [url_filter.Rule("h1.com", "/", "other")]
+    pages = spark.createDataFrame([(i, f"http://w.{h}/x") for i, h in enumerate(hosts)], "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules, "none").collect()}
+    assert got == {i: (f"h{i}.com/", "block" if i % 3 else "allow") if i % 2 else (None, "none") for i in range(500)}
+    monkeypatch.setattr(url_filter, "ALL_BYTES", 16)
+    with pytest.raises(ValueError, match="several calls"):
+        url_filter.judge_urls(pages, rules)
 
 
 NASTY = st.lists(st.sampled_from(["\\", "#", "###", "### ", "</turn>", "</turn>\n", "<", "/", "\n", ": ", "User", "Assistant", "é", "a", "$1", " "]), max_size=12).map("".join)
@@ -135,6 +150,12 @@ def test_chats(spark, turns):
         assert len(texts) == len(own) + 1 and all("</turn>" not in t for t in texts)
 
 
+def test_a_long_conversation_is_linear(spark):
+    rows = spark.range(20_000).selectExpr("1 conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('said ### ', id) text", "'x' TURNS")
+    out = chat.format_chats(rows).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).first()
+    assert out.n_turns == 20_000 and out.identical and out.loss == "".join(f"said ### {i}" for i in range(1, 20_000, 2))
+
+
 def test_chat_limits(spark):
     rows = [(None, 0, "user", "x"), (1, 0, "assistant", "y" * 300_000), (1, None, None, None)]
     out = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}

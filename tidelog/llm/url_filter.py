@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import shared_dir, stash, without
 
-#: No filter larger than this is broadcast with the plan.
+#: No filter is larger than this; longer lists are sharded by their keys' hashes.
 FILTER_BYTES = 16 << 20
+#: All filters of a verdict together, which the plan carries: a few hundred million rules.
+ALL_BYTES = 512 << 20
+#: 64-bit words of a filter in a row on its way to the driver.
+WORDS = 256
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A cascade halves its keys at each level or so; it ends long before this.
@@ -61,38 +65,51 @@ def candidates(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 @dataclass(frozen=True)
 class Level:
+    """A Bloom filter; bit ``at`` is bit at % 64 of its word at // 64, words big endian."""
+
     bits: int
     hashes: int
     data: bytes
     salt: int
 
     def has(self, key: Column) -> Column:
-        """Every bit of the key is set."""
-        out = F.lit(True)
-        for i in range(self.hashes):
-            at = _place(key, self.salt, i, self.bits)
-            # one byte of a binary literal, by its hexadecimal digits
-            byte = F.conv(F.hex(F.substring(F.lit(self.data), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-            out = out & (F.getbit(byte, (at.bitwiseAND(F.lit(7))).cast("int")) == 1)
-        return out
+        """Every bit of the key is set. The filter is one literal, bound once and shared by all its probes."""
+
+        def every(data: Column) -> Column:
+            out = F.lit(True)
+            for at in _places(key, self.salt, self.hashes, self.bits):
+                byte = F.shiftright(at, 6) * 8 + 8 - F.shiftright(at.bitwiseAND(F.lit(63)), 3)
+                code = F.ascii(F.decode(F.substring(data, byte.cast("int"), F.lit(1)), "ISO-8859-1"))
+                out = out & (F.getbit(code, at.bitwiseAND(F.lit(7)).cast("int")) == 1)
+            return out
+
+        return F.exists(F.array(F.lit(self.data)), every)
+
+
+def _places(key: Column, salt: int, hashes: int, bits: int) -> list[Column]:
+    """Bits of a key by double hashing."""
+    a, b = (F.pmod(F.xxhash64(F.lit(salt), F.lit(i), key), F.lit(bits)) for i in (0, 1))
+    return [F.pmod(a + b * i, F.lit(bits)) for i in range(hashes)]
 
 
-def _place(key: Column, salt: int, i: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(salt), F.lit(i), key), F.lit(bits))
+def size_of(n: int, rate: float) -> int:
+    """Bits of a filter of ``n`` keys that lets ``rate`` of others pass, in whole words."""
+    return 64 * max(1, math.ceil(n * -math.log(rate) / (math.log(2) ** 2) / 64))
 
 
 def build_level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
     """A Bloom filter of the ``n`` keys in column ``key``; ``rate`` of other keys pass."""
-    hashes = max(1, round(-math.log2(rate)))
-    bits = max(64, 8 * math.ceil(n * -math.log(rate) / (math.log(2) ** 2) / 8))
-    if bits // 8 > FILTER_BYTES:
-        raise OverflowError(f"a filter of {bits // 8} bytes")
-    places = F.array(*[_place(F.col("key"), salt, i, bits) for i in range(hashes)])
-    words = keys.select(F.explode(places).alias("at")).groupBy(F.expr("at div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("set"))
-    data = bytearray(bits // 8)
-    for byte, value in words.collect():  # at most bits / 8 of them, checked above
-        data[byte] = value
-    return Level(bits, hashes, bytes(data), salt)
+    hashes, bits = max(1, round(-math.log2(rate))), size_of(n, rate)
+    places = F.array(*_places(F.col("key"), salt, hashes, bits))
+    words = keys.select(F.explode(places).alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set"))
+    # blocks of words as hexadecimal text: the driver gets bits / 8 / WORDS rows
+    own = F.map_from_entries(F.collect_list(F.struct((F.col("word") % WORDS).cast("int"), "set")))
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.col("own")[i], F.lit(0).cast("bigint"))), 16, "0")), "")
+    blocks = words.groupBy(F.expr(f"word div {WORDS}").alias("block")).agg(own.alias("own")).select("block", text.alias("text"))
+    data = bytearray(bits // 8 + WORDS * 8)
+    for block, found in blocks.collect():
+        data[block * WORDS * 8 : (block + 1) * WORDS * 8] = bytes.fromhex(found)
+    return Level(bits, hashes, bytes(data[: bits // 8]), salt)
 
 
 def in_cascade(key: Column, levels: list[Level]) -> Column:
@@ -104,20 +121,18 @@ def in_cascade(key: Column, levels: list[Level]) -> Column:
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, salt: int = 0) -> list[Level]:
-    """Levels for the keys in ``listed`` against those in ``universe`` (both with a column ``key``)."""
-    listed = listed.where("key is not null").distinct()
+    """Levels for the keys in ``listed`` against those in ``universe`` (both with a column ``key``, without repeats)."""
     n, others = listed.count(), universe.count()
     if not n:
         return []
-    wrong_rate = min(0.5, math.sqrt(0.5) * n / max(others, 1))
-    levels = [build_level(listed, n, wrong_rate, salt)]
+    levels = [build_level(listed, n, first_rate(n, others), salt)]
     # what level 0 lets through of the universe, without the listed keys: about as many as are listed
-    false = universe.where(levels[0].has(F.col("key"))).select("key").distinct().join(listed, "key", "left_anti").checkpoint()
+    false = universe.where(levels[0].has(F.col("key"))).select("key").join(listed, "key", "left_anti").checkpoint()
     sides = [listed, false]
     while len(levels) < MOST_LEVELS:
         side = sides[len(levels) % 2]
-        for i in range(len(levels) % 2, len(levels), 2):  # keys that every opposite level has let through
-            side = side.where(levels[i - 1].has(F.col("key"))) if i else side
+        for i in range(len(levels) - 1, -1, -2):  # keys that every level of the other side lets through
+            side = side.where(levels[i].has(F.col("key")))
         left = side.count()
         if not left:
             return levels
@@ -125,50 +140,67 @@ def build_cascade(listed: DataFrame, universe: DataFrame, salt: int = 0) -> list
     raise RuntimeError("the cascade does not end")
 
 
-def _joined(keyed: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``keyed`` with __best from a plain join of its keys with the rules, for lists too long for a filter."""
-    keyed = stash(keyed.withColumn("__row", F.monotonically_increasing_id()), "urls")
-    listed = keyed.sparkSession.createDataFrame([(r.key, r.verdict) for r in rules], "key string, verdict string").dropDuplicates(["key"])
-    keys = keyed.select("__row", F.explode("__keys").alias("k")).select("__row", "k.*").join(listed, "key")
-    best = keys.groupBy("__row").agg(F.max(F.struct("size", "host_size", "key", "verdict")).alias("__best"))
-    return keyed.join(best, "__row", "left").drop("__row")
+def first_rate(n: int, others: int) -> float:
+    """Share of unlisted keys that level 0 lets through: the sizes of all levels together are about least there."""
+    return min(0.5, math.sqrt(0.5) * n / max(others, 1))
+
+
+def build_shards(listed: DataFrame, universe: DataFrame, salt: int) -> list[list[Level]]:
+    """Cascades of keys sharded by hash, so that no filter is larger than ``FILTER_BYTES``."""
+    listed, universe = listed.where("key is not null").distinct().checkpoint(), universe.distinct()
+    n, others = listed.count(), universe.count()
+    shards = max(1, -(-size_of(n, first_rate(n, others)) // (8 * FILTER_BYTES))) if n else 1
+    if shards * FILTER_BYTES > ALL_BYTES and shards > 1:
+        raise ValueError(f"{n} rules need filters of more than {ALL_BYTES} bytes in all: judge the urls in several calls")
+    own = _shard(F.col("key"), shards)
+    return [build_cascade(listed.where(own == s), universe.where(own == s), salt) for s in range(shards)]
+
+
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(77), key), F.lit(shards))
+
+
+def listed_in(key: Column, shards: list[list[Level]]) -> Column:
+    """The key is listed: the cascade of its shard says so."""
+    out = F.lit(False)
+    for s, levels in enumerate(shards):
+        out = F.when(_shard(key, len(shards)) == s, in_cascade(key, levels)).otherwise(out) if len(shards) > 1 else in_cascade(key, levels)
+    return out
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], otherwise: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule (its key or null) and verdict.
 
     A rule fits its host and all subdomains where the url's path starts with the rule's
-    path. The longest key wins; of equally long ones that with the longer host. A null
-    url, or one without ``://``, has empty host and path and gets ``otherwise``. Repeated
-    rows are judged alike. Input columns named like a result give way to it. Where a
-    filter would need more than ``FILTER_BYTES``, the keys are joined with the rules.
+    path. The longest key wins; of equally long ones that with the longer host; of rules
+    with one key the first in the list. A null or empty url, or one without ``://``, has
+    empty host and path and gets ``otherwise``; a url may have any length. Repeated rows
+    are judged alike; an empty table gives an empty one, no rules give ``otherwise``. Input
+    columns named like a result give way to it, in any case of letters.
     """
-    shared_dir(pages.sparkSession)
+    spark = pages.sparkSession
+    shared_dir(spark)
     base = without(pages, ["host", "path", "rule", "verdict"])
     found = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    keyed = found.withColumn("__keys", candidates(F.col("host"), F.col("path"), rules) if rules else F.array())
-    spark = pages.sparkSession
-    cascades = {}
     if not rules:
         return found.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(otherwise))
-    universe = keyed.select(F.explode("__keys.key").alias("key"))
-    try:
-        for i, verdict in enumerate(sorted({r.verdict for r in rules})):
-            listed = spark.createDataFrame([(r.key,) for r in rules if r.verdict == verdict], "key string")
-            cascades[verdict] = build_cascade(listed, universe, salt=1000 * i)
-    except OverflowError:
-        cascades = {}
+    rules = list({r.key: r for r in reversed(rules)}.values())
+    keyed = found.withColumn("__keys", candidates(F.col("host"), F.col("path"), rules))
+    universe = stash(keyed.select(F.explode("__keys.key").alias("key")).distinct(), "keys")
+    cascades = {}
+    for i, verdict in enumerate(sorted({r.verdict for r in rules})):
+        listed = spark.createDataFrame([(r.key,) for r in rules if r.verdict == verdict], "key string")
+        cascades[verdict] = build_shards(listed, universe, salt=1000 * i)
 
     def judged(k: Column) -> Column:
         verdict = F.lit(None).cast("string")
-        for name, levels in cascades.items():
-            verdict = F.when(in_cascade(k["key"], levels), F.lit(name)).otherwise(verdict)
+        for name, shards in cascades.items():
+            verdict = F.when(listed_in(k["key"], shards), F.lit(name)).otherwise(verdict)
         return F.struct(k["size"].alias("size"), k["host_size"].alias("host_size"), k["key"].alias("key"), verdict.alias("verdict"))
 
     best = F.array_max(F.filter(F.transform("__keys", judged), lambda k: k["verdict"].isNotNull()))
-    keyed = keyed.withColumn("__best", best) if cascades else _joined(keyed, rules)
     return (
-        keyed.withColumn("rule", F.col("__best.key"))
+        keyed.withColumn("__best", best).withColumn("rule", F.col("__best.key"))
         .withColumn("verdict", F.coalesce(F.col("__best.verdict"), F.lit(otherwise)))
         .drop("__keys", "__best")
-    )
+    )
