@@ -163,7 +163,9 @@ def test_chat_limits(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("bound", [1 << 26, 0])
+def test_mixing(spark, bound, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", bound)  # at 0 tokens are joined with their ratios
     r = random.Random(6)
     rows, labels = [], []
     for i in range(300):
@@ -198,6 +200,21 @@ def test_mixing(spark):
     assert np.allclose(rates(mixing.descend(passed, target)[0]), rate, atol=1e-6)
 
 
+def test_mixing_posteriors_by_hand(spark):
+    """The posteriors from whole counts, however many words there are: 60,000 rare ones tell nothing and cut none off."""
+    rows = [(i, " ".join(["apple" if i % 2 else "pear"] * 2 + [f"w{i}x{j}" for j in range(1_000)])) for i in range(60)]
+    docs, table = spark.createDataFrame([*rows, (90, "apple q"), (91, "pear " * 100_000)], "doc_id bigint, text string"), spark.createDataFrame([(i, "ab"[i % 2]) for i in range(60)], "doc_id bigint, domain string")
+    out = {x.doc_id: x.posterior for x in mixing.posteriors(docs, table)[0].collect()}
+    counts, n = np.array([[0.0, 30], [30, 0]]), np.array([30 + 30_000.0] * 2)  # apple, pear by domain
+    shared = (counts.sum(1) + 0.5) / (60_060 + 0.5 * 60_002)
+    taken = np.maximum(counts - 3, 0) / n
+    rest = 1 - taken.sum(0)
+    assert np.allclose(mixing.domain_logs(counts, n, 60_060, 60_002), np.log((taken + rest * shared[:, None]) / (rest * shared[:, None])))
+    assert all(out[i][i % 2] > 0.6 for i in range(60)) and out[90][1] > 0.9 and out[91][0] > 0.9
+    none = spark.createDataFrame([], "doc_id bigint, text string")
+    assert mixing.mix(none, table, {"a": 1.0}).count() == 0
+
+
 def test_mixing_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, domain string")
     out = mixing.mix(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string"), none, {"a": 1.0}).collect()

@@ -115,6 +115,14 @@ def test_lines(spark, bound, passes, monkeypatch):
     assert Counter(tuple(x) for x in got.select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()) == brute_lines(rows)
 
 
+def test_lines_of_equal_half_hashes(spark):
+    """Keys whose first 64 bits are equal are told apart by the others, and none is lost."""
+    stats = [(1, 1, 3, 9), (1, 2, 4, 8), (1, 3, 5, 7), (2, 1, 3, 6)]
+    shards = [tuple(r) for r in line_dedup.build_shards(spark.createDataFrame(stats, "h1 bigint, h2 bigint, n_docs bigint, last_doc bigint"), 1).collect()]
+    found, last = line_dedup.Probe(shards, 1).last_docs(np.array([1, 1, 1, 2, 1, 3]), np.array([1, 2, 3, 1, 4, 9]))
+    assert found.tolist() == [True] * 4 + [False] * 2 and last[:4].tolist() == [9, 8, 7, 6]
+
+
 def test_lines_empty(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOC)).count() == 0
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Nothing larger than this is broadcast; every operator has another way beyond it.
+#: Tables that grow with the data are broadcast up to this; operators have another way beyond it.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a token and its figures in a worker's dictionary, about.
+TOKEN_BYTES = 200
 
 #: Bytes of a text to bytes of its words: A-Z to lower case, 0-9, a-z and all bytes
 #: of non-ASCII characters kept, anything else a space.
@@ -36,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
         have = sc._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidelog-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(path)
@@ -91,6 +95,34 @@ def attach(
     return df.mapInArrow(run, schema)
 
 
+def joined_sums(docs: DataFrame, table: DataFrame, tokens_of: Callable[[bytes | None], Iterable[bytes]]) -> DataFrame:
+    """``docs`` (with text) and __sums: the summed ``x`` of each text's tokens in ``table`` (w, x array<double>).
+
+    For tables too large to broadcast: tokens meet the table in a shuffle. A token that
+    very many texts hold is a large group on their side alone, which adaptive execution splits.
+    """
+    numbered = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+    def make():
+        def run(batch):
+            rows, words = [], []
+            for row, data in zip(batch.column("__row").to_pylist(), raw(batch, "text"), strict=True):
+                own = list(tokens_of(data))
+                rows += [row] * len(own)
+                words += own
+            return [rows, words]
+
+        return run
+
+    tokens = emit(numbered.select("__row", "text"), "__row bigint, w binary", make)
+    each = tokens.join(table.select("w", F.posexplode("x").alias("i", "v")), "w").groupBy("__row", "i").agg(F.sum("v").alias("v"))
+    width = table.select(F.max(F.size("x"))).first()[0] or 0
+    by_place = F.map_from_entries(F.collect_list(F.struct("i", "v")))
+    sums = each.groupBy("__row").agg(by_place.alias("own")).select("__row", F.array(*[F.coalesce(F.col("own")[i], F.lit(0.0)) for i in range(width)]).alias("__sums"))
+    zero = F.array_repeat(F.lit(0.0), width)
+    return numbered.join(sums, "__row", "left").withColumn("__sums", F.coalesce("__sums", zero)).drop("__row")
+
+
 def emit(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
     """Rows computed from Arrow batches: ``make()`` runs once in each task, its result on each batch gives columns."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema

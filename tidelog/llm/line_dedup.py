@@ -28,6 +28,10 @@ EDGE = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 50_000
 GAMMA, LEVELS = 1.6, 24
 NO_DOC = -(2**63)
+#: Columns of a shard.
+ARRAYS = ("mph", "fingerprints", "counts", "last_docs", "twins")
+#: Bytes of a line's entries in a shard, about.
+ENTRY = 32
 #: Broadcasts (each a pass over the documents) up to which arrays go to the documents; beyond,
 #: probes go to the arrays, but for lines of so many documents, which stay broadcast.
 MOST_PASSES, HOT_DOCS = 4, 100_000
@@ -145,9 +149,16 @@ def line_stats(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def build_shards(stats: DataFrame, n_shards: int) -> DataFrame:
-    """One row for each shard: perfect hash, fingerprints, document counts, last documents, as bytes."""
+    """One row for each shard: perfect hash, fingerprints, document counts, last documents, twins, as bytes.
+
+    Twins (h1, h2, last document) are keys whose h1 another key of the shard has too, about
+    one pair in 2**64; the perfect hash has the first of such keys.
+    """
 
     def build(key, pdf):
+        again = pdf.duplicated("h1").to_numpy()
+        twins = pdf.loc[again, ["h1", "h2", "last_doc"]].to_numpy(np.int64)
+        pdf = pdf[~again]
         hashed = PerfectHash(pdf.h1.to_numpy().view(np.uint64))
         at = hashed.index(pdf.h1.to_numpy().view(np.uint64))
         arrays = []
@@ -155,12 +166,10 @@ def build_shards(stats: DataFrame, n_shards: int) -> DataFrame:
             a = np.empty(len(pdf), kind)
             a[at] = pdf[column].to_numpy()
             arrays.append(a.tobytes())
-        return pd.DataFrame([(key[0], hashed.dump(), *arrays)], columns=["shard", "mph", "fingerprints", "counts", "last_docs"])
+        return pd.DataFrame([(key[0], hashed.dump(), *arrays, twins.tobytes())], columns=["shard", *ARRAYS])
 
-    # keys of equal h1 and unequal h2 (about one pair in 2**64) would break a shard; the first is kept
-    one = stats.groupBy("h1").agg(F.min_by(F.struct("h2", "n_docs", "last_doc"), "h2").alias("s")).select("h1", "s.*")
-    sharded = one.withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int"))
-    return sharded.groupBy("shard").applyInPandas(build, "shard int, mph binary, fingerprints binary, counts binary, last_docs binary")
+    sharded = stats.withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int"))
+    return sharded.groupBy("shard").applyInPandas(build, "shard int, " + ", ".join(f"{c} binary" for c in ARRAYS))
 
 
 class Probe:
@@ -178,11 +187,14 @@ class Probe:
             if (arrays := self.shards.get(int(s))) is None:
                 continue
             rows = np.flatnonzero(shard == s)
-            hashed, fingerprints, _, docs = arrays
+            hashed, fingerprints, _, docs, twins = arrays
             at = hashed.index(h1[rows].view(np.uint64))
             ok = (at >= 0) & (at < len(fingerprints))
             ok[ok] = fingerprints[at[ok]] == h2[rows][ok]
             found[rows[ok]], last[rows[ok]] = True, docs[at[ok]]
+            for a, b, doc in twins.reshape(-1, 3).tolist():
+                twin = rows[(h1[rows] == a) & (h2[rows] == b)]
+                found[twin], last[twin] = True, doc
         return found, last
 
 
@@ -206,8 +218,8 @@ def routed(docs: DataFrame, shards: DataFrame, n_shards: int, hot: list, n_hot:
 
     probes = emit(document_lines(docs, min_chars), "h1 bigint, h2 bigint, doc_id bigint", cold_make)
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
-    arrays = shards.select("shard", F.lit(0).alias("kind"), "mph", "fingerprints", "counts", "last_docs", *none("bigint", "h1", "h2", "doc_id"))
-    asked = probes.select(F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), *none("binary", "mph", "fingerprints", "counts", "last_docs"), "h1", "h2", "doc_id")
+    arrays = shards.select("shard", F.lit(0).alias("kind"), *ARRAYS, *none("bigint", "h1", "h2", "doc_id"))
+    asked = probes.select(F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), *none("binary", *ARRAYS), "h1", "h2", "doc_id")
     rows = arrays.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind")
 
     def answer(batches):
@@ -219,7 +231,7 @@ def routed(docs: DataFrame, shards: DataFrame, n_shards: int, hot: list, n_hot:
                 part = batch.slice(start, end - start)
                 if kind[start] == 0:
                     one = part.to_pylist()[0]
-                    probe = Probe([(one["shard"], one["mph"], one["fingerprints"], one["counts"], one["last_docs"])], n_shards)
+                    probe = Probe([(one["shard"], *(one[c] for c in ARRAYS))], n_shards)
                 elif probe is not None and int(shard[start]) in probe.shards:
                     h1, h2, ids = (part.column(c).to_numpy() for c in ("h1", "h2", "doc_id"))
                     found, last = probe.last_docs(h1, h2)
@@ -236,9 +248,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, broadca
     A text is split at newlines (null or empty: one empty line). Keys of at least
     ``min_chars`` code points that occur in at least ``min_docs`` documents (distinct
     doc_id; null ids are one document, the smallest) lose their lines except in the
-    largest doc_id that holds them; rows that share that doc_id all keep them. A null
-    text stays null. dropped_lines holds the 0-based line numbers. Input columns named
-    like a result give way to it. Shards go to the documents in broadcasts of
+    largest doc_id that holds them; rows that share that doc_id all keep them, and repeated
+    rows get equal results. A null text stays null; a text may have any length, and an empty
+    table gives an empty one. dropped_lines holds the 0-based line numbers. Input columns
+    named like a result give way to it, in any case of letters. Shards go to the documents in broadcasts of
     ``broadcast_bytes``, a pass each; where that would take more than ``MOST_PASSES``,
     the documents' probes go to the shards instead.
     """
@@ -259,8 +272,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, broadca
         parts = [([tuple(r) for r in shards.where(F.col("shard").isin(g)).collect()] if g else [], n_shards) for g in groups]
         out = docs
     else:
-        common = repeated.where(F.col("n_docs") >= HOT_DOCS)
-        n_hot = max(1, -(-common.count() // SHARD_KEYS))
+        least = HOT_DOCS
+        while (n_common := repeated.where(F.col("n_docs") >= least).count()) * ENTRY > max(broadcast_bytes, ENTRY * SHARD_KEYS):
+            least *= 2  # the most common lines that fit into a broadcast
+        common = repeated.where(F.col("n_docs") >= least)
+        n_hot = max(1, -(-n_common // SHARD_KEYS))
         hot = [tuple(r) for r in build_shards(common, n_hot).collect()]
         parts = [(hot, n_hot)]
         gone = stash(routed(docs, shards, n_shards, hot, n_hot, min_chars), "gone").withColumnRenamed("doc_id", "__id")

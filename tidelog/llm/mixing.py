@@ -19,11 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import attach, emit, raw, stash, words_of
+from tidelog.llm.common import BROADCAST_BYTES, TOKEN_BYTES, attach, emit, joined_sums, raw, stash, without, words_of
 
 #: Labelled documents of each domain that the classifier is fitted on, about (a sample by hashed id).
 SAMPLE = 4_000
-VOCABULARY = 40_000
 DISCOUNT = 3.0
 FOLDS = 4
 STEPS, TOLERANCE = 40, 1e-5
@@ -34,24 +33,34 @@ def tokens_of(data: bytes | None) -> list[bytes]:
     return (data or b"").split()
 
 
-def _scores(texts: list[bytes | None], ids: dict[bytes, int], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean log probability of the distinct known tokens by column of ``logs``; number of tokens."""
+def _scores(texts: list[bytes | None], ids: dict[bytes, int], logs: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised sums of the distinct tokens' ratios by column of ``logs`` (or from ``sums``); number of words."""
     out, sizes = np.zeros((len(texts), logs.shape[1])), np.zeros(len(texts), np.int64)
     for row, data in enumerate(texts):
-        tokens = tokens_of(data)
+        tokens = set(tokens_of(data))
         sizes[row] = len(words_of(data))
-        known = sorted(ids[w] for w in set(tokens) if w in ids)
-        if known:
-            out[row] = logs[known].sum(axis=0) / (len(known) + 5.0) ** 0.75
+        known = sorted(ids[w] for w in tokens if w in ids)
+        if sums is not None:
+            out[row] = sums[row]
+        elif known:
+            out[row] = logs[known].sum(axis=0)
+        out[row] /= (len(tokens) + 5.0) ** 0.75
     return out, sizes
 
 
-def domain_logs(counts: np.ndarray) -> np.ndarray:
-    """V x K log probabilities: discounted document shares, the rest to the domains' common distribution."""
-    n = np.maximum(counts.sum(0), 1.0)
-    shared = (counts.sum(1) + 0.5) / (counts.sum() + 0.5 * len(counts))
+def domain_logs(counts: np.ndarray, n: np.ndarray, total: float, size: int) -> np.ndarray:
+    """Log ratios of tokens' probabilities in each domain to those of tokens that no domain has more of.
+
+    counts: tokens x domains; n: all tokens' counts by domain; total: their sum, size: number
+    of distinct tokens. A domain's probability is its discounted share, and the rest of it
+    goes to the domains' common distribution. A token that the discount leaves nothing of
+    has a ratio of one, as an unknown one has, so it need not be kept: no vocabulary is cut.
+    """
+    n = np.maximum(n, 1.0)
+    shared = (counts.sum(1) + 0.5) / (total + 0.5 * size)
     taken = np.maximum(counts - DISCOUNT * n / n.min(), 0) / n
-    return np.log(taken + np.maximum(1 - taken.sum(0), 1e-6) * shared[:, None])
+    rest = np.maximum(1 - taken.sum(0), 1e-6)
+    return np.log(taken + rest * shared[:, None]) - np.log(rest * shared[:, None])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -75,11 +84,13 @@ def calibrate(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
     return scale, offset
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, list[str]]:
-    """``docs`` with n_tokens (words) and posterior (over the domains, in order); the domains.
+def fit_posteriors(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tuple[Callable[[DataFrame], DataFrame], list[str]]:
+    """A function that adds n_tokens (words) and posterior (over the domains, in order) to texts; the domains.
 
     labelled: doc_id, domain. Null ids and domains are left out; a document with several
-    domains counts for the smallest. Texts without known tokens get the prior.
+    domains counts for the smallest. Texts without known tokens get the prior. Every token
+    of the sample is counted; those that the discount leaves something of are broadcast, or
+    joined where they would take more than ``BROADCAST_BYTES``.
     """
     sc = docs.sparkSession.sparkContext
     known = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min(F.col("domain").cast("string")).alias("domain"))
@@ -107,38 +118,78 @@ def posteriors(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tu
 
     slots = range(FOLDS * k)
     wide = [F.sum(F.when(F.col("slot") == s, F.col("n")).otherwise(0)).alias(f"s{s}") for s in slots]
-    table = emit(rows, "slot int, w binary, n bigint", counts_make).groupBy("w").agg(F.sum("n").alias("n"), *wide).orderBy(F.desc("n"), "w").limit(VOCABULARY).toPandas()
-    counts = table[[f"s{s}" for s in slots]].to_numpy(float).reshape(len(table), FOLDS, k)
-    ids = sc.broadcast({bytes(w): i for i, w in enumerate(table["w"])})
-    held = sc.broadcast([domain_logs(counts[:, [f for f in range(FOLDS) if f != left]].sum(1)) for left in range(FOLDS)])
+    every = stash(emit(rows, "slot int, w binary, n bigint", counts_make).groupBy("w").agg(*wide), "tokens")
+    whole = every.agg(F.count("*"), *[F.sum(f"s{s}") for s in slots]).first()
+    size, n = whole[0], np.array([x or 0 for x in whole[1:]], float).reshape(FOLDS, k)
+    # the discount is DISCOUNT counts or more: no other token keeps anything, in all folds or without one
+    kept = every.where(F.greatest(F.lit(0), *[sum((F.col(f"s{f * k + y}") for f in range(FOLDS)), F.lit(0)) for y in range(k)]) > DISCOUNT)
+    wide_table = kept.count() * (TOKEN_BYTES + 8 * (FOLDS + 1) * k) > BROADCAST_BYTES
+    left_out = [[f for f in range(FOLDS) if f != out] for out in range(FOLDS)] + [list(range(FOLDS))]
+
+    def logs_of(counts: np.ndarray) -> np.ndarray:
+        """tokens x (folds + 1) x k: ratios of the models without each fold, and of that with all."""
+        return np.stack([domain_logs(counts[:, own].sum(1), n[own].sum(0), n[own].sum(), size) for own in left_out], 1)
+
+    def counts_of(table) -> np.ndarray:
+        return np.stack([np.asarray(table[f"s{s}"], float) for s in slots], 1).reshape(-1, FOLDS, k)
+
+    if wide_table:
+
+        def logs_make():
+            return lambda batch: [batch.column("w"), logs_of(counts_of({c: batch.column(c).to_numpy() for c in batch.schema.names if c != "w"})).reshape(batch.num_rows, -1).tolist()]
+
+        table = stash(emit(kept, "w binary, x array<double>", logs_make), "ratios")
+        ids, held = sc.broadcast({}), sc.broadcast(np.zeros((0, FOLDS + 1, k)))
+        rows = joined_sums(rows, table, lambda data: set(tokens_of(data)))
+    else:
+        table = kept.toPandas()
+        ids = sc.broadcast({bytes(w): i for i, w in enumerate(table["w"])})
+        held = sc.broadcast(logs_of(counts_of(table)))
+
+    def sums_of(batch, at: int) -> np.ndarray | None:
+        return np.array(batch.column("__sums").to_pylist()).reshape(batch.num_rows, FOLDS + 1, k)[:, at] if "__sums" in batch.schema.names else None
 
     def crossed_make():
         def run(batch):
             texts, folds = raw(batch, "text"), np.array(batch.column("fold").to_pylist())
             out = np.zeros((len(texts), k))
             for f in range(FOLDS):
-                at = np.flatnonzero(folds == f)
-                out[at] = _scores([texts[i] for i in at], ids.value, held.value[f])[0]
+                at, sums = np.flatnonzero(folds == f), sums_of(batch, f)
+                out[at] = _scores([texts[i] for i in at], ids.value, held.value[:, f], None if sums is None else sums[at])[0]
             return [batch.column("y"), batch.column("weight"), out.tolist()]
 
         return run
 
     scale, offset = 1.0, np.zeros(k)
-    if len(domains) > 1 and len(table):
-        seen = emit(rows, "y int, weight double, s array<double>", crossed_make).orderBy("y", "weight", "s").toPandas()
+    if len(domains) > 1 and size:
+        seen = emit(rows, "y int, weight double, s array<double>", crossed_make).toPandas()  # about ``sample`` rows a domain
+        seen["s"] = seen["s"].map(tuple)
+        seen = seen.sort_values(["y", "weight", "s"])  # sums that don't depend on the order of rows
         scale, offset = calibrate(np.array(seen["s"].tolist()), seen["y"].to_numpy(np.int64), seen["weight"].to_numpy())
-    final = sc.broadcast(domain_logs(counts.sum(1)) if len(table) else np.zeros((0, k)))
 
     def make():
+        final = held.value[:, FOLDS]
+
         def run(batch):
-            s, n = _scores(raw(batch, "text"), ids.value, final.value)
+            s, words = _scores(raw(batch, "text"), ids.value, final, sums_of(batch, FOLDS))
             p = _softmax(scale * (s - s.mean(axis=1, keepdims=True)) + offset)
-            return [n, p.tolist()]
+            return [words, p.tolist()]
 
         return run
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]
-    return attach(docs, "text", fields, make), domains
+
+    def add(texts: DataFrame) -> DataFrame:
+        texts = joined_sums(texts, table, lambda data: set(tokens_of(data))) if wide_table else texts
+        return attach(texts, "text", fields, make).drop("__sums")
+
+    return add, domains
+
+
+def posteriors(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, list[str]]:
+    """``docs`` with n_tokens and posterior, and the domains; see ``fit_posteriors``."""
+    add, domains = fit_posteriors(docs, labelled, sample)
+    return add(docs), domains
 
 
 def rate_of(posterior: Column, steps: list[np.ndarray]) -> Column:
@@ -201,19 +252,18 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], sample:
     (as many as there are, if None). Where nonnegative rates cannot reach the targets they
     come as near as they can. n_copies is the rate rounded down or up by a hash of the id,
     so that its mean is the rate. Null, empty and wordless texts have no tokens and the
-    prior's rate; repeated rows get equal results. Without labelled rows every rate is one.
-    Input columns named like a result give way to it.
+    prior's rate; texts may have any length; repeated rows get equal results. Without labelled
+    rows every rate is one; an empty table gives an empty one. Input columns named like a
+    result give way to it, in any case of letters.
     """
-    scored, domains = posteriors(docs, labelled, sample)
-    scored = stash(scored, "posteriors")
+    add, domains = fit_posteriors(docs, labelled, sample)
     steps: list[np.ndarray] = []
     if domains:
-        members = scored.select("n_tokens", "posterior")
+        members = stash(add(docs.select("text")).select("n_tokens", "posterior"), "posteriors")
         total = members.agg(F.sum("n_tokens")).first()[0] or 0
         share = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
         if share.sum() > 0 and total:
             steps, _ = fit_rates(members, share / share.sum() * (tokens or total))
     roll = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    kept = [c for c in scored.columns if c.lower() not in ("rate", "n_copies")]
-    out = scored.select(*[f"`{c}`" for c in kept]).withColumn("rate", rate_of(F.col("posterior"), steps))
+    out = add(without(docs, ["rate", "n_copies"])).withColumn("rate", rate_of(F.col("posterior"), steps))
     return out.withColumn("n_copies", F.floor(F.col("rate") + roll).cast("bigint"))
