@@ -190,6 +190,33 @@ def test_segmentations():
         assert abs(change - got[i]) < 1e-3
 
 
+def test_long_words_are_not_cut(monkeypatch):
+    """Logarithms in stretches give what the products give, pieces across any place included."""
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "aab", "<0xC3>", "<0xA9>"]
+    lattice = language.Lattice({p: i for i, p in enumerate(pieces)})
+    r = np.random.default_rng(4)
+    prob = r.random((len(pieces), 2)) / 2
+    words = ["▁" + "".join(r.choice(list("abé"), n)) for n in (3, 30, 47, 60, 23, 24)] + [""]
+    plain, _ = language.forward(lattice, words[:-1], prob)
+    counts = np.array([1.0, 2, 3, 4, 5, 6, 7])
+    want = language.expected(lattice, words[:-1], counts[:-1], prob[:, :1])
+    for stretch in (4, 4_096):
+        monkeypatch.setattr(language, "STRETCH", stretch)
+        got = language.log_likelihoods(lattice, words, prob)
+        assert np.allclose(got[:-1], np.log(plain)) and not got[-1].any()
+        assert np.allclose(language.expected_pieces(lattice, words, counts, prob[:, :1]), want)
+    far = language.log_likelihoods(lattice, ["▁" + "ab" * 20_000], prob)
+    assert np.isfinite(far).all() and (far < -5_000).all()
+
+
+def test_language_clashing_and_empty(spark):
+    kind = DOC + ", lang string, SCORE string, Lang_Pred int"
+    rows = [(1, "the cat", "aa", "s", 1), (1, "the cat", "aa", "s", 1), (2, None, "bb", "s", 2)]
+    out = language.identify(spark.createDataFrame(rows, kind)).collect()
+    assert [r.lang_pred for r in out if r.doc_id == 1] == ["aa", "aa"] and len(out) == 3
+    assert language.identify(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_language(spark):
     r = random.Random(2)
     ends = {"aa": ["ing", "the", "tion"], "bb": ["ung", "der", "keit"], "cc": ["ción", "los", "aje"]}

@@ -24,8 +24,10 @@ SAMPLE = 1_500
 ROUNDS = 3
 SMOOTH = 0.02
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Longer words are cut into parts of so many characters, so that products stay in range.
-PART = 24
+#: Words up to so many characters are multiplied out; longer ones in logarithms, so that products stay in range.
+PLAIN = 24
+#: Characters of long words whose edges are held at once, and cells of their tables.
+STRETCH, CELLS = 4_096, 200_000
 #: Words whose likelihoods a worker remembers; beyond it the memory is emptied, results are the same.
 REMEMBERED = 500_000
 CHUNK = 4_096
@@ -59,6 +61,7 @@ class Lattice:
         keys.sort()
         self.keys = np.array([k for k, _ in keys], np.int64)
         self.next = np.array([n for _, n in keys], np.int64)
+        self.longest = max(map(len, plain), default=1)
         self.piece = np.full(len(nodes), -1, np.int64)
         self.piece[list(ends)] = list(ends.values())
 
@@ -148,12 +151,86 @@ def expected(lattice: Lattice, words: list[str], counts: np.ndarray, prob: np.nd
     return out
 
 
-def parts_of(word: str) -> list[str]:
-    """The word behind the mark of a word's start, in parts of bounded length; none without a letter."""
-    if not any(map(str.isalpha, word)):
-        return []
-    marked = "▁" + word.lower()
-    return [marked[i : i + PART] for i in range(0, len(marked), PART)]
+def marked(word: str) -> str:
+    """The word behind the mark of a word's start; empty without a letter."""
+    return "▁" + word.lower() if any(map(str.isalpha, word)) else ""
+
+
+def stretches(lattice: Lattice, words: list[str], backward: bool = False):
+    """Edges of long words by stretches of their starts, and the places of each start among them, in order."""
+    size = max(map(len, words))
+    begins = range(0, size, STRETCH)
+    for begin in reversed(begins) if backward else begins:
+        alive = np.array([i for i, w in enumerate(words) if len(w) > begin])
+        word, start, end, piece, spelt, _ = lattice.edges([words[i][begin : begin + STRETCH + lattice.longest] for i in alive])
+        on = start < STRETCH
+        spelt = [p for p, keep in zip(spelt, on[piece < 0].tolist(), strict=True) if keep]
+        word, start, end, piece = alive[word[on]], start[on] + begin, end[on] + begin, piece[on]
+        order = np.argsort(start, kind="stable")
+        places = np.split(order, np.flatnonzero(np.diff(start[order])) + 1)
+        yield word, start, end, piece, spelt, places[::-1] if backward else places
+
+
+def log_forward(lattice: Lattice, words: list[str], prob: np.ndarray) -> np.ndarray:
+    """(characters + 1) x words x languages: log of the summed segmentations of every beginning of every word."""
+    alpha = np.full((max(map(len, words)) + 1, len(words), prob.shape[1]), -np.inf)
+    alpha[0] = 0
+    for word, start, end, piece, spelt, places in stretches(lattice, words):
+        weight = np.log(_weights(piece, spelt, prob))
+        for at in places:  # the ends of a word's edges from one start differ
+            alpha[end[at], word[at]] = np.logaddexp(alpha[end[at], word[at]], alpha[start[at], word[at]] + weight[at])
+    return alpha
+
+
+def log_expected(lattice: Lattice, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """``expected`` for long words."""
+    alpha, lengths, every = log_forward(lattice, words, prob), np.array([len(w) for w in words]), np.arange(len(words))
+    beta = np.full(alpha.shape[:2], -np.inf)
+    beta[lengths, every] = 0
+    total, out = alpha[lengths, every, 0], np.zeros(len(prob))
+    for word, start, end, piece, spelt, places in stretches(lattice, words, backward=True):
+        weight = np.log(_weights(piece, spelt, prob))[:, 0]
+        for at in places:
+            np.logaddexp.at(beta, (start[at], word[at]), weight[at] + beta[end[at], word[at]])
+        post = np.exp(alpha[start, word, 0] + weight + beta[end, word] - total[word]) * counts[word]
+        out += np.bincount(piece[piece >= 0], post[piece >= 0], len(prob))
+        for p, x in zip(spelt, post[piece < 0].tolist(), strict=True):
+            np.add.at(out, list(p), x)
+    return out
+
+
+def chunks(words: list[str]):
+    """Places of the words that are marked, in pieces of like length and bounded size; whether the piece is of short words."""
+    order = sorted((i for i, w in enumerate(words) if w), key=lambda i: len(words[i]))
+    held: list[int] = []
+    for i in order:
+        long = len(words[i]) > PLAIN
+        if held and (len(held) >= CHUNK or (long and (len(words[held[-1]]) <= PLAIN or (len(held) + 1) * len(words[i]) > CELLS))):
+            yield held, len(words[held[-1]]) <= PLAIN
+            held = []
+        held.append(i)
+    if held:
+        yield held, len(words[held[-1]]) <= PLAIN
+
+
+def log_likelihoods(lattice: Lattice, words: list[str], prob: np.ndarray) -> np.ndarray:
+    """Words x languages: log of the probabilities summed over all segmentations; 0 for an empty word."""
+    out = np.zeros((len(words), prob.shape[1]))
+    for at, short in chunks(words):
+        own = [words[i] for i in at]
+        if short:
+            out[at] = np.log(np.maximum(forward(lattice, own, prob)[0], 1e-300))
+        else:
+            out[at] = log_forward(lattice, own, prob)[[len(w) for w in own], np.arange(len(own))]
+    return out
+
+
+def expected_pieces(lattice: Lattice, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Expected piece counts of one language (prob: V x 1), whatever the words' lengths."""
+    total = np.zeros(len(prob))
+    for at, short in chunks(words):
+        total += (expected if short else log_expected)(lattice, [words[i] for i in at], counts[at], prob)
+    return total
 
 
 def _sampled(docs: DataFrame, per_language: int) -> DataFrame:
@@ -200,12 +277,8 @@ def fit_languages(docs: DataFrame, per_language: int = SAMPLE, model_file: str =
                 every = batch.column("w").to_pylist()
                 counts = np.array(batch.column("n").to_pylist(), float)
                 for k, name in enumerate(langs):
-                    total = np.zeros(v)
                     rows = np.flatnonzero(lang == name)
-                    for i in range(0, len(rows), CHUNK):
-                        split = [(s, counts[j]) for j in rows[i : i + CHUNK] for s in parts_of(every[j])]
-                        if split:
-                            total += expected(lattice, [s for s, _ in split], np.array([c for _, c in split]), p[:, k : k + 1])
+                    total = expected_pieces(lattice, [marked(every[j]) for j in rows], counts[rows], p[:, k : k + 1])
                     some = np.flatnonzero(total)
                     out_lang += [k] * len(some)
                     out_piece += some.tolist()
@@ -227,8 +300,10 @@ def identify(docs: DataFrame, per_language: int = SAMPLE, model_file: str = MODE
     docs: doc_id, text, lang. Only rows that are not held out (crc32 of the id as text
     leaves 2 when divided by 4) with text and lang are learned from. Null texts and texts
     without a letter are ``und`` with score 0; so is everything if nothing was learned.
-    Equal posteriors go to the first language in order. Input columns named like a result
-    give way to it.
+    Equal posteriors go to the first language in order; repeated rows get equal results.
+    Texts and words may have any length: all segmentations of whole words are summed. An
+    empty table gives an empty one. Input columns named like a result give way to it, in
+    any case of letters.
     """
     langs, log_prob = fit_languages(docs, per_language, model_file)
     sc = docs.sparkSession.sparkContext
@@ -246,13 +321,11 @@ def identify(docs: DataFrame, per_language: int = SAMPLE, model_file: str = MODE
         def learn(new: list[bytes]) -> None:
             for i in range(0, len(new), CHUNK):
                 part = new[i : i + CHUNK]
-                split = [(n, s) for n, w in enumerate(part) for s in parts_of(w.decode())]
+                words = [marked(w.decode()) for w in part]
                 value = np.zeros((len(part), k + 1))
-                if split and k:
-                    total, _ = forward(lattice, [s for _, s in split], prob)
-                    owner = np.array([n for n, _ in split])
-                    np.add.at(value[:, :k], owner, np.log(np.maximum(total, 1e-300)))
-                    value[owner, k] = 1
+                if k:
+                    value[:, :k] = log_likelihoods(lattice, words, prob)
+                    value[:, k] = [len(w) > 0 for w in words]
                 known, need = memo["known"], len(rows) + len(part)
                 if need > len(known):
                     memo["known"] = known = np.concatenate([known, np.zeros((max(need - len(known), len(known)), k + 1))])
