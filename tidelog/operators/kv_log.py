@@ -5,7 +5,8 @@ absent), delta. Within a key, order is log_index. State is (group_id, key, value
 row a live key; an absent key has no row, an empty value is an empty binary.
 
 set and delete forget what was there, so they cut a key's log into segments that fold
-independently: only the commands between two of them are gathered into one array.
+independently. A segment's sorted commands stream past its value: nothing is gathered, and
+work is linear in the commands however many a key has.
 """
 
 from __future__ import annotations
@@ -36,33 +37,36 @@ def parse_int64(value: Column) -> Column:
     return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
 
 
-def _fold(commands: Column, results: bool) -> Column:
-    """Value and, if asked for, every command's result over sorted commands of one segment."""
-    out = "array<struct<log_index:bigint,applied:boolean,value:binary,error:string>>"
-    zero = F.struct(F.lit(None).cast("binary").alias("v"), F.array().cast(out).alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        v, op = acc["v"], c["op"]
-        number = F.when(v.isNull(), F.lit(0).cast("bigint")).otherwise(parse_int64(v))
-        total = F.try_add(number, c["delta"])
-        counted = F.encode(total.cast("string"), "UTF-8")
-        matches = v.eqNullSafe(c["expected"])
-        after = (
-            F.when(op == "set", c["value"]).when(op == "delete", F.lit(None).cast("binary"))
-            .when((op == "cas") & matches, c["value"]).when((op == "incr") & total.isNotNull(), counted).otherwise(v)
-        )
-        if not results:
-            return F.struct(after.alias("v"), acc["out"].alias("out"))
-        error = (
-            F.when(~op.isin(*OPS), "unknown_op").when((op == "incr") & number.isNull(), "not_integer")
-            .when((op == "incr") & total.isNull(), "overflow").when((op == "get") & v.isNull(), "not_found")
-        )
-        applied = F.when(op == "cas", matches).when(op == "exists", v.isNotNull()).otherwise(error.isNull())
-        shown = F.when((op == "incr") & total.isNotNull(), counted).when(op == "get", v)
-        one = F.struct(c["log_index"].alias("log_index"), applied.alias("applied"), shown.alias("value"), error.alias("error"))
-        return F.struct(after.alias("v"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    return F.aggregate(commands, zero, step)
+def integer_of(value: bytes | None) -> int | None:
+    """``parse_int64`` of an engine value; an absent one counts as zero."""
+    if value is None:
+        return 0
+    digits = value[1:] if value[:1] in (b"+", b"-") else value
+    number = int(value) if digits.isdigit() and len(digits) < 200 else None
+    return number if number is not None and -(2**63) <= number < 2**63 else None
+
+
+def step(v: bytes | None, op: str, value: bytes | None, expected: bytes | None, delta: int | None) -> tuple:
+    """The value after a command, and its result: applied, shown value, error."""
+    if op == "set":
+        return value, True, None, None
+    if op == "delete":
+        return None, True, None, None
+    if op == "cas":
+        return (value, True, None, None) if v == expected else (v, False, None, None)
+    if op == "incr":
+        number = integer_of(v)
+        if number is None or delta is None:
+            return v, False, None, "not_integer"
+        if not -(2**63) <= number + delta < 2**63:
+            return v, False, None, "overflow"
+        counted = str(number + delta).encode()
+        return counted, True, counted, None
+    if op == "get":
+        return v, v is not None, v, None if v is not None else "not_found"
+    if op == "exists":
+        return v, v is not None, None, None
+    return v, False, None, "unknown_op"
 
 
 def _segments(log: DataFrame) -> DataFrame:
@@ -71,21 +75,58 @@ def _segments(log: DataFrame) -> DataFrame:
     return log.withColumn("segment", segment)
 
 
-def _folded(log: DataFrame, results: bool) -> DataFrame:
-    command = F.struct("log_index", "op", "value", "expected", "delta")
-    grouped = _segments(log).groupBy("group_id", "key", "segment").agg(F.array_sort(F.collect_list(command)).alias("commands"))
-    return grouped.select("group_id", "key", "segment", _fold(F.col("commands"), results).alias("f"))
+def _streamed(segments: DataFrame, keep: list[str], last_only: bool) -> DataFrame:
+    """``keep`` columns of every command (or of a segment's last) with state (the value after it), applied, value, error."""
+    marks = ["group_id", "key", "segment"]
+    given = ["op", "value", "expected", "delta"]
+    rows = segments.select(*marks, "log_index", *[F.col(c).alias(f"__{c}") for c in given], *[F.col(c).alias(f"keep_{c}") for c in keep])
+    names = [*keep, "state", "applied", "value", "error"]
+    kinds = [T.BinaryType(), T.BooleanType(), T.BinaryType(), T.StringType()]
+    schema = T.StructType([*(T.StructField(c, segments.schema[c].dataType) for c in keep), *(T.StructField(c, k) for c, k in zip(names[len(keep) :], kinds, strict=True))])
+    types = [pa.binary(), pa.bool_(), pa.binary(), pa.string()]
 
-
-def apply_results(log: DataFrame) -> DataFrame:
-    """group_id, key, log_index, applied, value, error of every command."""
-    return _folded(log, True).select("group_id", "key", F.explode("f.out").alias("r")).select("group_id", "key", "r.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, v, waiting = None, None, None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*marks, *(f"__{c}" for c in given))]
+            out, ends = [], []
+            for i, (*key, op, value, expected, delta) in enumerate(zip(*columns, strict=True)):
+                if key != now:
+                    if i:
+                        ends.append(i - 1)
+                    elif waiting is not None:
+                        yield waiting
+                    now, v = key, None
+                v, applied, shown, error = step(v, op, value, expected, delta)
+                out.append((v, applied, shown, error))
+            new = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else []
+            if not new:
+                continue
+            done = pa.RecordBatch.from_arrays([*(batch.column(f"keep_{c}") for c in keep), *new], names=names)
+            if not last_only:
+                yield done
+                continue
+            if ends:
+                yield done.take(pa.array(ends))
+            waiting = done.slice(done.num_rows - 1)
+        if waiting is not None:
+            yield waiting
+
+    return rows.repartition(*marks).sortWithinPartitions(*marks, "log_index").mapInArrow(run, schema)
+
+
+def apply_results(log: DataFrame, *keep: str) -> DataFrame:
+    """group_id, key, log_index, op, applied, value, error of every command, and its columns ``keep``."""
+    return _streamed(_segments(log), ["group_id", "key", "log_index", "op", *keep], False).drop("state")
 
 
 def final_state(log: DataFrame) -> DataFrame:
-    """group_id, key, value after the whole log."""
-    last = _folded(log, False).groupBy("group_id", "key").agg(F.max_by("f.v", "segment").alias("value"))
-    return last.where("value is not null")
+    """group_id, key, value after the whole log: only the commands from a key's last set or delete on are folded."""
+    by_key = Window.partitionBy("group_id", "key")
+    last = F.max(F.when(F.col("op").isin("set", "delete"), F.col("log_index"))).over(by_key)
+    tail = log.withColumn("segment", F.coalesce(last, F.lit(-1).cast("bigint"))).where("log_index >= segment or segment = -1")
+    after = _streamed(tail, ["group_id", "key"], True)
+    return after.where("state is not null").select("group_id", "key", F.col("state").alias("value"))
 
 
 def last_write(log: DataFrame) -> DataFrame:
@@ -95,10 +136,24 @@ def last_write(log: DataFrame) -> DataFrame:
 
 
 def running_counters(log: DataFrame) -> DataFrame:
-    """Value after each incr of keys that see incr alone: a running sum, no fold."""
-    alone = log.groupBy("group_id", "key").agg(F.bool_and(F.col("op") == "incr").alias("alone")).where("alone").select("group_id", "key")
-    by_key = Window.partitionBy("group_id", "key").orderBy("log_index").rowsBetween(Window.unboundedPreceding, 0)
-    return log.join(alone, ["group_id", "key"], "left_semi").withColumn("total", F.sum(F.col("delta").cast("decimal(38,0)")).over(by_key))
+    """Counters after each incr, by running sums, no fold: group_id, key, log_index, total.
+
+    A key's log is cut at set and delete. Of its segments those count that start from a
+    number or nothing, see no cas, and never leave the range of a bigint: there no incr is
+    refused, so a value is the start and the sum of the deltas. Other segments need the
+    fold (``apply_results``). Every command is read.
+    """
+    cut = _segments(log)
+    part = Window.partitionBy("group_id", "key", "segment")
+    upto = part.orderBy("log_index").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.first(F.when(F.col("op") == "set", F.struct("value"))).over(upto)  # a segment begins with its set or delete
+    start = F.when(first.isNull(), F.lit(0).cast("bigint")).otherwise(parse_int64(first["value"]))
+    total = start.cast("decimal(38,0)") + F.sum(F.when(F.col("op") == "incr", F.col("delta")).cast("decimal(38,0)")).over(upto)
+    summed = cut.select("group_id", "key", "log_index", "op", "segment", total.alias("total"), start.isNull().alias("odd"))
+    low, high = F.lit(-(2**63)).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")
+    bad = F.col("odd") | (F.col("op") == "cas") | (F.col("total") < low) | (F.col("total") > high)
+    fine = ~F.coalesce(F.bool_or(bad).over(part), F.lit(False))
+    return summed.withColumn("fine", fine).where("fine and op = 'incr'").select("group_id", "key", "log_index", "total")
 
 
 def get(state: DataFrame, key: str) -> DataFrame:

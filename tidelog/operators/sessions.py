@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,14 +30,21 @@ def _judged(log: DataFrame, capacity: int) -> DataFrame:
 
 
 def _windowed(log: DataFrame) -> DataFrame:
+    """Commands without a client always apply, so they stay out of the windows: they are no group."""
+    anonymous = F.coalesce(F.col("client_id"), F.lit("")) == ""
+    none = F.lit(None).cast("bigint")
+    free = log.where(anonymous).select("*", F.lit("apply").alias("decision"), none.alias("source"), none.alias("birth"))
+    return _windowed_clients(log.where(~anonymous)).unionByName(free)
+
+
+def _windowed_clients(log: DataFrame) -> DataFrame:
     before = Window.partitionBy("group_id", "client_id").orderBy("log_index").rowsBetween(Window.unboundedPreceding, -1)
     last = F.max("seq").over(before)
-    anonymous = F.coalesce(F.col("client_id"), F.lit("")) == ""
-    decision = F.when(anonymous | last.isNull() | (F.col("seq") > last), "apply").when(F.col("seq") == last, "duplicate").otherwise("stale")
+    decision = F.when(last.isNull() | (F.col("seq") > last), "apply").when(F.col("seq") == last, "duplicate").otherwise("stale")
     decided = log.withColumn("decision", decision)
     source = F.last(F.when(F.col("decision") == "apply", F.col("log_index")), ignorenulls=True).over(before)
     birth = F.coalesce(F.min("log_index").over(before), F.col("log_index"))
-    return decided.select("*", F.when(~anonymous, source).alias("source"), F.when(~anonymous, birth).alias("birth"))
+    return decided.select("*", source.alias("source"), birth.alias("birth"))
 
 
 def _streamed(log: DataFrame, capacity: int) -> DataFrame:
@@ -82,14 +89,18 @@ def apply_once(log: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def _results(log: DataFrame, capacity: int) -> DataFrame:
+    """A repeat stands with the command whose result it gets in one window: no table is joined with itself."""
+    known = ["client_id", "seq", "decision", "source", "birth"]
     decided = _judged(log, capacity)
-    fresh = decided.where("decision = 'apply'").select(*log.columns)
-    results = kv_log.apply_results(fresh).select("group_id", "log_index", "applied", F.col("value").alias("result"), "error")
-    base = decided.select("group_id", "log_index", "client_id", "seq", "key", "op", "decision", "source", "birth")
-    new = base.where("decision = 'apply'").drop("source").join(results, ["group_id", "log_index"])
-    again = base.where("decision = 'duplicate'").join(results.withColumnRenamed("log_index", "source"), ["group_id", "source"]).drop("source")
-    stale = base.where("decision = 'stale'").drop("source").select("*", F.lit(False).alias("applied"), F.lit(None).cast("binary").alias("result"), F.lit("stale_sequence").alias("error"))
-    return new.unionByName(again).unionByName(stale)
+    new = kv_log.apply_results(decided.where("decision = 'apply'"), *known).withColumnRenamed("value", "result")
+    nothing = {"applied": "boolean", "result": "binary", "error": "string"}
+    rest = decided.where("decision <> 'apply'").select("group_id", "key", "log_index", "op", *known, *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
+    both = new.unionByName(rest)
+    origin = F.when(F.col("decision") == "duplicate", F.col("source")).otherwise(F.col("log_index"))
+    first = F.first(F.struct("applied", "result", "error")).over(Window.partitionBy("group_id", origin).orderBy("log_index"))
+    stale = F.struct(F.lit(False).alias("applied"), F.lit(None).cast("binary").alias("result"), F.lit("stale_sequence").alias("error"))
+    got = both.withColumn("r", F.when(F.col("decision") == "stale", stale).otherwise(first))
+    return got.select("group_id", "log_index", "client_id", "seq", "key", "op", "decision", "birth", "r.applied", "r.result", "r.error")
 
 
 def table(log: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -125,3 +136,13 @@ def fits(log: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def number(log: DataFrame) -> DataFrame:
     """``log`` with seq counted anew for each client and group, from one."""
     return log.withColumn("seq", F.row_number().over(Window.partitionBy("group_id", "client_id").orderBy("log_index")).cast("bigint"))
+
+
+def write_table(sessions: DataFrame, path: str) -> None:
+    """A snapshot of the session table: clients in order within files, so that equal tables give equal rows."""
+    sessions.repartitionByRange("group_id", "client_id").sortWithinPartitions("group_id", "client_id").write.mode("overwrite").parquet(path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The session table of a snapshot; errors are the texts that they were written as."""
+    return spark.read.schema("group_id bigint, client_id string, last_seq bigint, applied boolean, result binary, error string, birth bigint").parquet(path)

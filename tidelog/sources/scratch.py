@@ -10,5 +10,9 @@ from pyspark.sql import SparkSession
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidelog-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidelog-")
     return f"{base}/{tag}-{uuid.uuid4().hex}"
