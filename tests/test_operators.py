@@ -242,10 +242,11 @@ def test_streams(spark, tmp_path):
     requests = spark.createDataFrame(rows, "ts bigint, tenant string, op string, status int, latency_s double, request_id bigint")
     source = str(tmp_path / "in")
     stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1)
-    for part in range(2):  # files that arrive one after the other
-        requests.where(F.col("request_id") % 2 == part).coalesce(1).write.mode("append").parquet(source)
-        streams.hourly_usage(stream.parquet(source), str(tmp_path / "out"), str(tmp_path / "check"))
-    got = streams.latest(spark, str(tmp_path / "out"))
+    for part in range(4):  # files that arrive one after the other; every second is compacted
+        requests.where(F.col("request_id") % 4 == part).coalesce(1).write.mode("append").parquet(source)
+        streams.hourly_usage(stream.parquet(source), str(tmp_path / "out"), str(tmp_path / "check"), every=2)
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"base=3"}
+    got = streams.usage_table(spark, str(tmp_path / "out"))
     assert sorted(map(tuple, got.select(*metering.BUCKET_KEY, "count").collect())) == sorted(map(tuple, metering.hourly(requests).select(*metering.BUCKET_KEY, "count").collect()))
 
 
@@ -262,3 +263,75 @@ def test_session_stream(spark, tmp_path):
             log.where("log_index >= 40").coalesce(1).write.mode("append").parquet(source)
     got = {r.log_index: r.decision for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r.log_index: r.decision for r in sessions.decide(log).collect()}
+
+
+def test_last_writes_stream(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(0, i, r.choice(["set", "delete", "incr"]), f"k{r.randrange(9)}", str(i).encode(), None, 1, "c", i) for i in range(90)]
+    log, source = spark.createDataFrame(rows, LOG), str(tmp_path / "log")
+    for step in range(3):
+        log.where(F.col("log_index") % 3 == step).coalesce(1).write.mode("append").parquet(source)  # out of order
+        streams.last_writes(spark.readStream.schema(log.schema).parquet(source), str(tmp_path / "out"), str(tmp_path / "c"), every=2)
+    want = {}
+    for x in rows:
+        if x[2] != "incr":
+            want[x[3]] = x[1]
+    assert {r.key: r.log_index for r in streams.last_writes_table(spark, str(tmp_path / "out")).collect()} == want
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"base=1", "part=2"}
+
+
+def test_session_replay_stream(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(0, i, "incr", f"k{i % 3}", None, None, 1, f"c{r.randrange(3)}", r.randrange(1, 30)) for i in range(80)]
+    log = spark.createDataFrame(rows, LOG)
+    want = {x.log_index: (x.decision, x.applied, x.result and bytes(x.result).decode(), x.error) for x in sessions.apply_once(log).collect()}
+    # what the engine says of new commands; others' own results are never shown
+    engine = [(g, c, i, q, *(want[i][1:] if want[i][0] == "apply" else (True, "wrong", None))) for g, i, *_, c, q in rows]
+    commands, source = spark.createDataFrame(engine, "group_id bigint, client_id string, log_index bigint, seq bigint, applied boolean, result string, error string"), str(tmp_path / "in")
+    for step in range(2):
+        commands.where(F.col("log_index") >= 40 if step else F.col("log_index") < 40).coalesce(1).write.mode("append").parquet(source)
+        told = streams.session_replays(spark.readStream.schema(commands.schema).parquet(source))
+        told.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert {x.log_index: (x.decision, x.applied, x.result, x.error) for x in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_windowed_usage_drops_what_is_too_late(spark, tmp_path):
+    rows = [(3_600 * h + m, "tn1", i) for i, (h, m) in enumerate([(5, 0), (5, 10), (9, 0), (6, 0), (9, 5)])]
+    source = str(tmp_path / "in")
+    kind = "ts bigint, tenant string, request_id bigint"
+    for step, part in enumerate((rows[:3], rows[3:])):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+        counts = streams.windowed_usage(stream).select(F.unix_seconds("hour.start").alias("hour"), "tenant", "requests")
+        save = lambda batch, n, step=step: batch.write.mode("append").parquet(str(tmp_path / f"out{step}"))
+        counts.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    last = {r.hour: r.requests for r in spark.read.parquet(str(tmp_path / "out0")).collect()}
+    more = {r.hour: r.requests for r in spark.read.parquet(str(tmp_path / "out1")).collect()}
+    assert last == {18_000: 2, 32_400: 1} and more == {32_400: 2}  # the request of hour 6 came after the watermark
+
+
+def test_configurations_are_gated(spark):
+    now = sharding.default_ranges(spark, 3, 3)
+    assert sharding.adopt(now, sharding.default_ranges(spark, 2, 3)).count() == 3
+    assert sharding.adopt(now, sharding.default_ranges(spark, 2, 4)).count() == 2
+
+
+def test_anonymous_commands_always_apply(spark):
+    rows = [(0, i, "incr", "k", None, None, 1, [None, "", "c"][i % 3], 1) for i in range(9)]
+    got = {r.log_index: r.decision for r in sessions.decide(spark.createDataFrame(rows, LOG)).collect()}
+    assert got == {i: "duplicate" if i in (5, 8) else "apply" for i in range(9)}
+
+
+def test_benchmark_lines_are_appended(spark, tmp_path):
+    path = str(tmp_path / "bench")
+    one = spark.createDataFrame([("a", 3, {"Unavailable": 2})], "label string, shards int, error_codes map<string,bigint>")
+    formats.append_bench(one, path)
+    formats.append_bench(one.withColumn("label", F.lit("b")), path)
+    got = formats.read_bench(spark, path)
+    assert sorted((r.label, r.shards, r.error_codes, r.p50_us) for r in got.collect()) == [("a", 3, {"Unavailable": 2}, None), ("b", 3, {"Unavailable": 2}, None)]
+
+
+def test_labels_are_escaped(spark):
+    rows = spark.createDataFrame([('a"b\\c\nd', 2)], "tenant string, n bigint")
+    lines = formats.in_order(formats.expose_counter(rows, 1, "x_total", "Text.", ["tenant"], "n")).collect()
+    assert [r.line for r in lines] == ["# HELP x_total Text.", "# TYPE x_total counter", 'x_total{tenant="a\\"b\\\\c\\nd"} 2']

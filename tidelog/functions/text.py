@@ -35,3 +35,19 @@ def is_tenant_id(text: Column) -> Column:
 def share(part: Column, whole: Column) -> Column:
     """Percent, null for nothing of nothing."""
     return 100.0 * part / F.nullif(whole, F.lit(0))
+
+
+def normal_email(text: Column) -> Column:
+    """Trimmed and lower-cased; null if that is no plain address of at most 254 characters."""
+    email = F.lower(F.trim(text))
+    return F.when((F.length(email) <= 254) & email.rlike(r"^[a-z0-9!#$%&'*+/=?^_`{|}~-]+(\.[a-z0-9!#$%&'*+/=?^_`{|}~-]+)*@[a-z0-9.-]+$"), email)
+
+
+def is_key_prefix(text: Column, start: str = "key_live_") -> Column:
+    """A fixed start and eight hexadecimal digits."""
+    return text.rlike(f"^{start}[0-9a-f]{{8}}$")
+
+
+def rfc3339(seconds: Column) -> Column:
+    """Seconds since the epoch as UTC time in RFC 3339, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

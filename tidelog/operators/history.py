@@ -70,6 +70,19 @@ def quorum_index(matches: DataFrame, voters: int) -> DataFrame:
     return matches.groupBy("group").agg(F.sort_array(F.collect_list("match_index"), asc=False).alias("m")).select("group", F.element_at("m", majority).alias("commit_index"))
 
 
+def advance_commit(matches: DataFrame, entries: DataFrame, nodes: DataFrame, voters: int) -> DataFrame:
+    """group, commit_index: the majority's index where its entry is of the current term, else the old commit index.
+
+    matches: group, match_index; entries: group, index, term; nodes: group, term, commit_index.
+    An entry of an earlier term, or one that the log lacks, is not committed by counting.
+    """
+    held = quorum_index(matches, voters).withColumnRenamed("commit_index", "index")
+    own = nodes.select("group", F.col("term").alias("now"), F.col("commit_index").alias("old"))
+    seen = own.join(held, "group", "left").join(entries.select("group", "index", "term"), ["group", "index"], "left")
+    fine = (F.col("index") > F.col("old")) & (F.col("term") == F.col("now"))
+    return seen.select("group", F.when(fine, F.col("index")).otherwise(F.col("old")).alias("commit_index"))
+
+
 def log_faults(entries: DataFrame) -> DataFrame:
     """group, index, fault: gaps in a log's indexes, and entries whose stored crc differs from their payload's."""
     before = F.lag("index").over(Window.partitionBy("group").orderBy("index"))
@@ -89,6 +102,13 @@ def divergent(replicas: DataFrame) -> DataFrame:
     return replicas.groupBy("group", "index").agg(F.count_distinct("payload").alias("n")).where("n > 1").select("group", "index")
 
 
+def lacking(replicas: DataFrame) -> DataFrame:
+    """group, index, held, replicas: indexes that some replica of a group lacks, though it or another holds later ones."""
+    of_group = replicas.groupBy("group").agg(F.count_distinct("replica").alias("replicas"))
+    held = replicas.groupBy("group", "index").agg(F.count_distinct("replica").alias("held"))
+    return held.join(of_group, "group").where("held < replicas")
+
+
 # ---- linearizability: local to a key (Herlihy and Wing 1990), so keys are searched apart ----
 
 
@@ -122,21 +142,46 @@ def explains(ops: list[tuple], budget: int = NODE_BUDGET) -> bool | None:
     """Is there an order of the operations (kind, input, output, start, finish, success) on one key that explains them?
 
     Operations of which one finished before another started keep that order. Failed writes
-    may have happened at any later time or never; failed reads say nothing. None if the
-    budget of visited states runs out. Dead ends (set of placed operations, value) are
-    remembered.
+    may have happened at any later time or never; failed reads say nothing. The history is
+    cut where nothing is in flight, and only the values possible there are carried on, so
+    a search is as large as what overlaps. None if the budget of visited states runs out.
+    """
+    told = sorted((o for o in ops if o[5] or o[0] in WRITES), key=lambda o: o[3])
+    pieces: list[list[tuple]] = []
+    until = float("-inf")
+    for o in told:
+        if not pieces or until < o[3]:
+            pieces.append([])
+        pieces[-1].append(o)
+        until = max(until, o[4] if o[5] else float("inf"))  # a failed write may still happen
+    states: set = {None}
+    for piece in pieces:
+        found = outcomes(piece, states, budget)
+        if not found:
+            return None if found is None else False
+        states = found
+    return True
+
+
+def outcomes(ops: list[tuple], states: set, budget: int) -> set | None:
+    """Values that orders of these operations can end with, from one of ``states``; None if the budget runs out.
+
+    Failed writes are tried only if the others alone explain nothing. Visited states (set of
+    placed operations, value) are remembered.
     """
-    must = sorted((o for o in ops if o[5]), key=lambda o: o[3])
-    may = [o for o in ops if not o[5] and o[0] in WRITES]
+    must = [o for o in ops if o[5]]
+    may = [o for o in ops if not o[5]]
     for extra in ([], may) if may else ([],):
         every = must + extra
         need = (1 << len(must)) - 1
         earlier = [sum(1 << j for j in range(len(must)) if every[j][4] < o[3]) for o in every]
-        seen, stack = {(0, None)}, [(0, None)]
+        seen = {(0, s) for s in states}
+        stack, ends = list(seen), set()
         while stack:
             placed, state = stack.pop()
             if placed & need == need:
-                return True
+                ends.add(state)
+                continue
             for i, o in enumerate(every):
                 if placed >> i & 1 or earlier[i] & ~placed:
                     continue
@@ -149,7 +194,9 @@ def explains(ops: list[tuple], budget: int = NODE_BUDGET) -> bool | None:
                         return None
                     seen.add(nxt)
                     stack.append(nxt)
-    return False
+        if ends:
+            return ends
+    return set()
 
 
 def check_linearizable(ops: DataFrame, budget: int = NODE_BUDGET) -> DataFrame:

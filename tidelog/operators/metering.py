@@ -6,6 +6,7 @@ bucket (seconds, an hour's start), kind (req, rate, conc), op, status, count.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -33,9 +34,14 @@ def limit_counts(requests: DataFrame, limited: int = 429) -> DataFrame:
 
 
 def rollup(requests: DataFrame) -> DataFrame:
-    """tenant, requests, by_op, by_status (maps), rate_limited."""
-    by_op = requests.groupBy("tenant", "op").agg(F.count("*").alias("n"), F.count_if(F.col("status") == 429).alias("limited"))
-    ops = by_op.groupBy("tenant").agg(F.sum("n").alias("requests"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("op", "n")))).alias("by_op"), F.sum("limited").alias("rate_limited"))
+    """tenant, requests, by_op, by_status (maps), rate_limited, concurrency_limited; the last where requests have ``kind``, that of a refusal."""
+    kind = F.col("kind") if "kind" in requests.columns else F.lit("rate")
+    refused = F.col("status") == 429
+    by_op = requests.groupBy("tenant", "op").agg(F.count("*").alias("n"), F.count_if(refused & (kind == "rate")).alias("limited"), F.count_if(refused & (kind == "conc")).alias("crowded"))
+    ops = by_op.groupBy("tenant").agg(
+        F.sum("n").alias("requests"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("op", "n")))).alias("by_op"),
+        F.sum("limited").alias("rate_limited"), F.sum("crowded").alias("concurrency_limited"),
+    )
     by_status = requests.groupBy("tenant", F.col("status").cast("string").alias("status")).agg(F.count("*").alias("n"))
     statuses = by_status.groupBy("tenant").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("by_status"))
     return ops.join(statuses, "tenant")
@@ -115,6 +121,18 @@ def series_by_op(buckets: DataFrame, tenant: str, name: str, now: int) -> DataFr
     return own.groupBy((start + F.floor((F.col("bucket") - start) / step) * step).alias("start"), "op").agg(F.sum("count").alias("requests"))
 
 
+def with_live(buckets: DataFrame, live: DataFrame, now: int) -> DataFrame:
+    """Buckets and what is not flushed yet (tenant_id, kind, op, status, count), which counts for the current hour."""
+    return buckets.unionByName(live.select("tenant_id", F.lit(now - now % HOUR).cast("bigint").alias("bucket"), "kind", "op", "status", "count"))
+
+
+def series_filled_by_op(buckets: DataFrame, tenant: str, name: str, now: int, ops: list[str]) -> DataFrame:
+    """start, op, requests: every step of a range for each of ``ops``, zeros included."""
+    start, end, step = parse_range(name, now)
+    points = buckets.sparkSession.range(start, end, step).select(F.col("id").alias("start"), F.explode(F.array(*map(F.lit, ops))).alias("op"))
+    return points.join(series_by_op(buckets, tenant, name, now), ["start", "op"], "left").withColumn("requests", F.coalesce("requests", F.lit(0).cast("bigint")))
+
+
 def bucket_of(seconds: Column) -> Column:
     """Index of the first bound that is not below; their number stands for +Inf."""
     out = F.lit(len(LATENCY_BOUNDS))
@@ -189,6 +207,33 @@ def concurrency(requests: DataFrame) -> DataFrame:
     return flips.withColumn("open", F.sum("d2").over(upto)).groupBy("tenant").agg(F.max("open").alias("peak"))
 
 
+def concurrency_cap(requests: DataFrame, cap: int) -> DataFrame:
+    """tenant, start, finish, request_id, admitted: a request is refused where ``cap`` admitted ones are in flight.
+
+    A refused request occupies nothing, so this is an ordered fold: a tenant's requests
+    stream in order of start past at most ``cap`` ends. What ends at a start has ended.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, tenant, ends = False, None, []
+        for batch in batches:
+            admitted = []
+            for who, begin, finish in zip(*(batch.column(c).to_pylist() for c in ("tenant", "start", "finish")), strict=True):
+                if not started or who != tenant:
+                    started, tenant, ends = True, who, []
+                while ends and ends[0] <= begin:
+                    heapq.heappop(ends)
+                admitted.append(len(ends) < cap)
+                if admitted[-1]:
+                    heapq.heappush(ends, finish)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(admitted, pa.bool_())], names=[*names, "admitted"])
+
+    order = ["tenant", "start", "request_id"]
+    rows = requests.where("start is not null and finish is not null").select("tenant", "start", "finish", "request_id").repartition("tenant").sortWithinPartitions(*order)
+    names = rows.columns
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("admitted", T.BooleanType())]))
+
+
 def effective_quota(tenants: DataFrame, rps: float, burst: int) -> DataFrame:
     """Tenants with effective_rps and effective_burst: their own where positive, else the default."""
     return tenants.withColumn("effective_rps", F.when(F.col("quota_rps") > 0, F.col("quota_rps")).otherwise(F.lit(rps))).withColumn(
@@ -219,6 +264,19 @@ def unexpired(sessions: DataFrame, now: int) -> DataFrame:
     return sessions.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
 
 
+def purge_counts(sessions: DataFrame, now: int) -> DataFrame:
+    """purged, kept: how many rows an expiry purge takes and leaves."""
+    gone = F.coalesce(F.col("expires_at") <= now, F.lit(False))
+    return sessions.agg(F.count_if(gone).alias("purged"), F.count_if(~gone).alias("kept"))
+
+
+def revoke_results(keys: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``prefixes`` (prefix) with result: revoked, already_revoked, or not_found."""
+    known = keys.select("prefix", F.struct("revoked_at").alias("k"))
+    result = F.when(F.col("k").isNull(), "not_found").when(F.col("k.revoked_at").isNotNull(), "already_revoked").otherwise("revoked")
+    return prefixes.join(known, "prefix", "left").select("prefix", result.alias("result"))
+
+
 def revoke(keys: DataFrame, prefixes: list[str], at: int) -> DataFrame:
     """Keys with revoked_at set where it was null: revoking twice changes nothing."""
     return keys.withColumn("revoked_at", F.when(F.col("revoked_at").isNull() & F.col("prefix").isin(prefixes), F.lit(at)).otherwise(F.col("revoked_at")))
@@ -237,3 +295,10 @@ def authenticate(requests: DataFrame, keys: DataFrame, tenants: DataFrame, now:
     """Requests (hash) of active keys with their tenant; others are refused."""
     live = keys.where(key_status(now) == "active").select("hash", "tenant_id")
     return requests.join(live, "hash").join(tenants.withColumnRenamed("id", "tenant_id"), "tenant_id")
+
+
+def signed_in(tokens: DataFrame, sessions: DataFrame, users: DataFrame, tenants: DataFrame, now: int) -> DataFrame:
+    """token_hash, user_id, email, tenant_id, tenant of unexpired sessions whose user and tenant exist; others are refused."""
+    live = sessions.where(F.col("expires_at") > now).select("token_hash", "user_id")
+    owner = users.select(F.col("id").alias("user_id"), "email", "tenant_id")
+    return tokens.join(live, "token_hash").join(owner, "user_id").join(tenants.select(F.col("id").alias("tenant_id"), F.col("name").alias("tenant")), "tenant_id")

@@ -6,9 +6,13 @@ the window's edges.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.metering import LATENCY_BOUNDS, bucket_of
+
 
 def leader_changes(samples: DataFrame) -> DataFrame:
     """node, group, changes: moves to another known leader; the first one counts."""
@@ -60,6 +64,19 @@ def bucket_quantile(cumulative: DataFrame, by: list[str], q: float, bounds: tupl
     return hit.select(*by, value.alias("value"))
 
 
+def windowed_quantiles(requests: DataFrame, quantiles: list[float], every: int, window: int) -> DataFrame:
+    """start, q, value: quantiles of the latencies counted in each window, from scraped bucket counters' increases."""
+    counters = requests.select("ts", "op", bucket_of(F.col("latency_s")).alias("bucket"))
+    gained = increases(scrape(counters, ["op", "bucket"], every), ["op", "bucket"])
+    start = (F.col("t") - F.col("t") % window).alias("start")
+    sums = gained.groupBy(start, "bucket").agg(F.sum("gain").alias("n"))
+    dense = sums.select("start").distinct().select("start", F.explode(F.sequence(F.lit(0), F.lit(len(LATENCY_BOUNDS)))).alias("bucket")).join(sums, ["start", "bucket"], "left")
+    upto = Window.partitionBy("start").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # 13 rows a window
+    total = dense.select("start", "bucket", F.sum(F.coalesce("n", F.lit(0))).over(upto).alias("cumulative"))
+    parts = [bucket_quantile(total, ["start"], q, LATENCY_BOUNDS).select("start", F.lit(q).alias("q"), "value") for q in quantiles]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def status_matches(pattern: str) -> Column:
     """A status label against a pattern that has to match all of it."""
     return F.col("status").cast("string").rlike(f"^(?:{pattern})$")

@@ -85,3 +85,28 @@ def distribution(keys: DataFrame, groups: int) -> DataFrame:
     """group, keys, slots: how evenly distinct keys fall."""
     slotted = keys.select("key").distinct().withColumn("slot", slot_of(F.col("key")))
     return slotted.groupBy(default_group(F.col("slot"), groups).alias("group")).agg(F.count("*").alias("keys"), F.countDistinct("slot").alias("slots"))
+
+
+def move_problems(ranges: DataFrame, moves: DataFrame) -> DataFrame:
+    """``moves`` (version, start, end, from_group, to_group) with problem: why the configuration refuses it, null if it does not.
+
+    The first reason counts: version not newer, start not below end, end out of range,
+    a group out of range, slots that no single range of from_group holds.
+    """
+    version, groups = ranges.agg(F.max("version"), F.max("groups")).first()
+    own = ranges.select(F.col("group").alias("from_group"), F.col("start").alias("low"), F.col("end").alias("high"))
+    # a configuration has at most as many ranges as slots
+    inside = moves.select("start", "end", "from_group").distinct().join(F.broadcast(own), "from_group").where("start >= low and end <= high")
+    owned = inside.select("start", "end", "from_group").distinct().withColumn("owned", F.lit(True))
+    reason = (
+        F.when(F.col("version") <= version, "version").when(F.col("start") >= F.col("end"), "empty").when(F.col("end") > SLOTS, "end")
+        .when(F.col("from_group") >= groups, "from_group").when(F.col("to_group") >= groups, "to_group").when(F.col("owned").isNull(), "not_owned")
+    )
+    return moves.join(owned, ["start", "end", "from_group"], "left").withColumn("problem", reason).drop("owned")
+
+
+def adopt(current: DataFrame, offered: DataFrame) -> DataFrame:
+    """The offered configuration if its version is newer than the current one's, else the current one."""
+    now = current.agg(F.max("version")).first()[0]
+    newer = newer_than(offered, now if now is not None else -1)
+    return current if newer.isEmpty() else newer.select(*current.columns)

@@ -129,6 +129,15 @@ def kv_committed_batch(spark, sf_dir):
     return kv_log.committed(log, at).groupBy("group_id").agg(F.count("*").alias("applied"), F.max("log_index").alias("last_applied"))
 
 
+@query(sql("oplog") + f" SELECT group_id, count(*) AS applied, max(log_index) AS last_applied FROM oplog WHERE log_index <= {_MID} AND (log_index // 2) % 9 <> 0 GROUP BY group_id")
+def kv_committed_without_empty(spark, sf_dir):
+    """A log in which a leader's empty entries stand between the commands."""
+    log = views.oplog(spark, sf_dir)
+    at = log.agg(F.expr("max(log_index) div 2 + min(log_index) div 2")).first()[0]
+    entries = log.withColumn("op", F.when(F.expr("(log_index div 2) % 9 <> 0"), F.col("op")))
+    return kv_log.committed(entries, at).groupBy("group_id").agg(F.count("*").alias("applied"), F.max("log_index").alias("last_applied"))
+
+
 _DECREMENT = sql("oplog", recursive=True) + """, ops AS (SELECT key, group_id, log_index, delta, row_number() OVER (PARTITION BY key ORDER BY log_index) AS n FROM oplog WHERE op = 'incr'),
     fold AS (SELECT key, n, log_index, delta >= 0 AS applied, greatest(delta, 0) AS total, CASE WHEN delta < 0 THEN 'below_zero' END AS error FROM ops WHERE n = 1
         UNION ALL SELECT o.key, o.n, o.log_index, f.total::HUGEINT + o.delta BETWEEN CASE WHEN o.delta < 0 THEN 0 ELSE -1 END AND 9223372036854775807,
@@ -186,6 +195,24 @@ def session_table(spark, sf_dir):
     return t.select("group_id", "client_id", "last_seq", "applied", F.coalesce(_text("result"), F.lit("-")).alias("result"), "birth")
 
 
+@query(ORACLE["session_table"])
+def session_snapshot(spark, sf_dir):
+    """The session table of a state machine's snapshot, written and read back."""
+    path = scratch(spark, "machine")
+    log = views.oplog(spark, sf_dir)
+    formats.write_machine(_state(spark, sf_dir), sessions.table(log), path)
+    t = formats.read_machine(spark, path)[1]
+    return t.select("group_id", "client_id", "last_seq", "applied", F.coalesce(_text("result"), F.lit("-")).alias("result"), "birth")
+
+
+@query(ORACLE["kv_fold_final_state"])
+def machine_snapshot_state(spark, sf_dir):
+    """The engine's keys of a snapshot, written and read back."""
+    path = scratch(spark, "machine")
+    formats.write_snapshot(_state(spark, sf_dir), path)
+    return formats.read_snapshot(spark, path).select("group_id", "key", _text("value").alias("value"))
+
+
 @query(
     _DECIDED + """, births AS (SELECT group_id, client_id, min(log_index) AS birth FROM decided WHERE decision = 'apply' GROUP BY ALL)
     SELECT group_id, client_id, birth FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY birth DESC) AS age FROM births) WHERE age > 5"""
@@ -249,6 +276,26 @@ def shard_move_slots(spark, sf_dir):
     return moved.select(*[F.col(c).cast("int").alias(c) for c in moved.columns])
 
 
+_MOVES = [
+    (2, 0, 100, 0, 1, None), (1, 0, 100, 0, 1, "version"), (2, 100, 100, 0, 1, "empty"), (2, 16000, 16385, 2, 1, "end"), (2, 0, 100, 3, 1, "from_group"), (2, 0, 100, 0, 3, "to_group"),
+    (2, 0, 100, 1, 2, "not_owned"), (2, 5000, 6000, 0, 1, "not_owned"), (2, 5461, 10922, 1, 0, None),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("({}, {}, {}, {}, {}, {})".format(*m[:5], "NULL" if m[5] is None else f"'{m[5]}'") for m in _MOVES) + ') t(version, start, "end", from_group, to_group, problem)')
+def shard_move_problems(spark, sf_dir):
+    moves = spark.createDataFrame([m[:5] for m in _MOVES], "version int, start int, end int, from_group int, to_group int")
+    return sharding.move_problems(sharding.default_ranges(spark, 3), moves)
+
+
+@query("SELECT * FROM (VALUES ('newer', 3, 2), ('older', 3, 3), ('same', 3, 3)) t(offered, version, ranges)")
+def shard_adopt_config(spark, sf_dir):
+    now = sharding.default_ranges(spark, 3, 3)
+    row = lambda name, offered: sharding.adopt(now, offered).groupBy(F.lit(name).alias("offered")).agg(F.max("version").cast("int").alias("version"), F.count("*").cast("int").alias("ranges"))
+    newer = row("newer", sharding.default_ranges(spark, 2, 4)).withColumn("version", F.col("version") - 1)
+    return newer.unionByName(row("older", sharding.default_ranges(spark, 2, 2))).unionByName(row("same", sharding.default_ranges(spark, 2, 3)))
+
+
 @query(_SLOTTED + " SELECT count(*) > 0 AS found FROM slotted WHERE slot >= 100 AND slot < 200")
 def shard_any_key_in_range(spark, sf_dir):
     return sharding.any_key_in(_keys(spark, sf_dir), 100, 200)
@@ -367,6 +414,51 @@ def usage_series_by_op(spark, sf_dir):
     return metering.series_by_op(_buckets(spark, sf_dir), "tn1", "30d", NOW)
 
 
+def _live_sql(name: str) -> str:
+    start, end, step = metering.parse_range(name, NOW)
+    return _REQ + f""", u AS (SELECT CASE WHEN ts >= {NOW - 1800} THEN {NOW - NOW % 3600} ELSE ts - ts % 3600 END AS bucket, status FROM requests WHERE tenant = 'tn1'),
+        own AS (SELECT {start} + (bucket - {start}) // {step} * {step} AS start, status FROM u WHERE bucket >= {start} AND bucket < {end})
+        SELECT range AS start, count(o.start) AS requests, count(*) FILTER (o.status = 429) AS rate_limited, 0::BIGINT AS concurrency_limited FROM range({start}, {end}, {step}) LEFT JOIN own o ON o.start = range GROUP BY range"""
+
+
+def _flushed_and_live(spark, sf_dir) -> DataFrame:
+    """Buckets of a gateway that flushed half an hour ago, and what it has counted since."""
+    r, cut = views.requests(spark, sf_dir), NOW - 1800
+    live = metering.hourly(r.where(F.col("ts") >= cut)).groupBy("tenant_id", "kind", "op", "status").agg(F.sum("count").alias("count"))
+    return metering.with_live(metering.hourly(r.where(F.col("ts") < cut)), live, NOW)
+
+
+@query(_live_sql("24h"))
+def usage_series_live_24h(spark, sf_dir):
+    return metering.series(_flushed_and_live(spark, sf_dir), "tn1", "24h", NOW)
+
+
+@query(_live_sql("7d"))
+def usage_series_live_7d(spark, sf_dir):
+    return metering.series(_flushed_and_live(spark, sf_dir), "tn1", "7d", NOW)
+
+
+_S30 = metering.parse_range("30d", NOW)
+_OP_LIST = ["get", "put", "delete", "incr", "cas", "exists"]
+
+
+@query(
+    _HOURLY + f""", grid AS (SELECT range AS start, op FROM range({_S30[0]}, {_S30[1]}, 86400), (SELECT unnest({_OP_LIST}) AS op)),
+    own AS (SELECT {_S30[0]} + (bucket - {_S30[0]}) // 86400 * 86400 AS start, op, sum(count)::BIGINT AS n FROM usage_buckets WHERE tenant_id = 'tn1' AND kind = 'req' AND bucket >= {_S30[0]} AND bucket < {_S30[1]} GROUP BY ALL)
+    SELECT start, op, coalesce(n, 0)::BIGINT AS requests FROM grid LEFT JOIN own USING (start, op)"""
+)
+def usage_series_filled_by_op(spark, sf_dir):
+    return metering.series_filled_by_op(_buckets(spark, sf_dir), "tn1", "30d", NOW, _OP_LIST)
+
+
+@query(
+    _REQ + """ SELECT tenant, count(*) AS requests, count(*) FILTER (status = 429 AND request_id % 2 = 0) AS rate_limited, count(*) FILTER (status = 429 AND request_id % 2 <> 0) AS concurrency_limited FROM requests GROUP BY tenant"""
+)
+def tenant_limits(spark, sf_dir):
+    r = views.requests(spark, sf_dir).withColumn("kind", F.when(F.col("request_id") % 2 == 0, "rate").otherwise("conc"))
+    return metering.rollup(r).select("tenant", "requests", "rate_limited", "concurrency_limited")
+
+
 _LE = "CASE " + " ".join(f"WHEN latency_s <= {b} THEN {i}" for i, b in enumerate(metering.LATENCY_BOUNDS)) + f" ELSE {len(metering.LATENCY_BOUNDS)} END"
 
 
@@ -424,6 +516,19 @@ def concurrency_peak(spark, sf_dir):
     return metering.concurrency(r)
 
 
+@query(
+    sql("requests", recursive=True) + """, r AS (SELECT tenant, request_id, ts AS start, ts + floor(latency_s * 100000)::BIGINT AS finish, row_number() OVER (PARTITION BY tenant ORDER BY ts, request_id) AS n FROM requests),
+    f AS (SELECT tenant, n, request_id, true AS admitted, [finish] AS open FROM r WHERE n = 1
+        UNION ALL SELECT r.tenant, r.n, r.request_id, len(list_filter(f.open, lambda x: x > r.start)) < 3,
+            CASE WHEN len(list_filter(f.open, lambda x: x > r.start)) < 3 THEN list_append(list_filter(f.open, lambda x: x > r.start), r.finish) ELSE list_filter(f.open, lambda x: x > r.start) END
+        FROM f JOIN r ON r.tenant = f.tenant AND r.n = f.n + 1)
+    SELECT tenant, request_id, admitted FROM f"""
+)
+def concurrency_cap(spark, sf_dir):
+    r = views.requests(spark, sf_dir).select("tenant", "request_id", F.col("ts").alias("start"), (F.col("ts") + F.floor(F.col("latency_s") * 100000).cast("bigint")).alias("finish"))
+    return metering.concurrency_cap(r, 3).select("tenant", "request_id", "admitted")
+
+
 @query(sql("tenants") + " SELECT id, CASE WHEN quota_rps > 0 THEN quota_rps ELSE 50.0 END AS effective_rps, CASE WHEN quota_burst > 0 THEN quota_burst ELSE 100 END AS effective_burst FROM tenants")
 def effective_quota(spark, sf_dir):
     return metering.effective_quota(views.tenants(spark, sf_dir), 50.0, 100).select("id", "effective_rps", "effective_burst")
@@ -460,15 +565,38 @@ def expiry_purge(spark, sf_dir):
     return metering.unexpired(views.api_keys(spark, sf_dir), NOW).agg(F.count("*").alias("kept"), F.count("expires_at").alias("dated"))
 
 
+@query(sql("login_sessions") + f" SELECT count(*) FILTER (expires_at <= {NOW}) AS purged, count(*) FILTER (expires_at > {NOW}) AS kept FROM login_sessions")
+def session_purge(spark, sf_dir):
+    return metering.purge_counts(views.login_sessions(spark, sf_dir), NOW)
+
+
+@query(sql("api_keys") + """, p AS (SELECT 'k' || lpad((range * 5)::VARCHAR, 9, '0') AS prefix FROM range(1000))
+    SELECT prefix, CASE WHEN k.tenant_id IS NULL THEN 'not_found' WHEN revoked_at IS NULL THEN 'revoked' ELSE 'already_revoked' END AS result FROM p LEFT JOIN api_keys k USING (prefix)""")
+def key_revoke_results(spark, sf_dir):
+    prefixes = spark.range(1000).select(F.concat(F.lit("k"), F.lpad((F.col("id") * 5).cast("string"), 9, "0")).alias("prefix"))
+    return metering.revoke_results(views.api_keys(spark, sf_dir), prefixes)
+
+
+@query(
+    sql("login_sessions", "users", "tenants") + f""" SELECT s.token_hash, u.id AS user_id, t.id AS tenant_id, t.name AS tenant FROM login_sessions s JOIN users u ON u.id = s.user_id JOIN tenants t ON t.id = u.tenant_id WHERE s.expires_at > {NOW}"""
+)
+def signed_in(spark, sf_dir):
+    sessions_ = views.login_sessions(spark, sf_dir)
+    return metering.signed_in(sessions_.select("token_hash"), sessions_, views.users(spark, sf_dir), views.tenants(spark, sf_dir), NOW).select("token_hash", "user_id", "tenant_id", "tenant")
+
+
 @query(sql("api_keys") + f" SELECT prefix, CASE WHEN revoked_at IS NULL AND prefix IN ('k000000007', 'k000000008') THEN {NOW} ELSE revoked_at END AS revoked_at FROM api_keys")
 def key_revoke(spark, sf_dir):
     return metering.revoke(views.api_keys(spark, sf_dir), ["k000000007", "k000000008"], NOW).select("prefix", "revoked_at")
 
 
-@query("SELECT event_type AS method, props AS path, 'other' AS op FROM events GROUP BY ALL")
+@query(
+    sql("routed") + """ SELECT method, path, CASE WHEN path = '/v1/usage' THEN 'usage' WHEN path = '/kv' AND method = 'POST' THEN 'kv_post'
+        WHEN NOT regexp_matches(path, '^/kv/.') OR method = 'POST' THEN 'other' ELSE lower(method) END AS op, count(*) AS n FROM routed GROUP BY ALL"""
+)
 def route_label(spark, sf_dir):
-    e = views.table(spark, sf_dir, "events").select(F.col("event_type").alias("method"), F.col("props").alias("path")).distinct()
-    return e.withColumn("op", metering.route_op(F.col("method"), F.col("path")))
+    op = metering.route_op(F.col("method"), F.col("path"))
+    return views.routed(spark, sf_dir).groupBy("method", "path", op.alias("op")).agg(F.count("*").alias("n"))
 
 
 @query(sql("requests", "api_keys", "tenants") + f" SELECT r.request_id, t.id AS tenant_id, t.name FROM requests r JOIN api_keys k ON k.prefix = 'k' || lpad((r.request_id % 900 + 1)::VARCHAR, 9, '0') JOIN tenants t ON t.id = k.tenant_id WHERE {_STATUS} = 'active'")
@@ -529,9 +657,32 @@ def rate_server_errors(spark, sf_dir):
     return _rate(spark, sf_dir, "tenant", monitoring.status_matches("5.."))
 
 
-@query(_rate_sql("op", "status = 401"))
+def _whole_rate_sql(where: str, window: int = 86400) -> str:
+    return sql("routed") + f""", s AS (SELECT tenant, status, ts - ts % 3600 + 3600 AS t, count(*) AS n FROM routed WHERE {where} GROUP BY ALL),
+        c AS (SELECT tenant, status, t, sum(n) OVER (PARTITION BY tenant, status ORDER BY t) AS v FROM s), g AS (SELECT *, v - lag(v) OVER (PARTITION BY tenant, status ORDER BY t) AS gain FROM c)
+        SELECT t - t % {window} AS start, round(sum(coalesce(gain, 0)) / {window}, 9)::DOUBLE AS rate FROM g GROUP BY 1"""
+
+
+def _whole_rate(spark, sf_dir, pattern: str, window: int = 86400) -> DataFrame:
+    """One rate over all tenants, as the panels sum it."""
+    keys = ["tenant", "status"]
+    scraped = monitoring.scrape(views.routed(spark, sf_dir).where(monitoring.status_matches(pattern)), keys, 3600)
+    return monitoring.rate(scraped, keys, [], window).withColumn("rate", F.round("rate", 9))
+
+
+@query(_whole_rate_sql("status = 401"))
 def rate_unauthorized(spark, sf_dir):
-    return _rate(spark, sf_dir, "op", monitoring.status_matches("401"))
+    return _whole_rate(spark, sf_dir, "401")
+
+
+@query(_whole_rate_sql("status BETWEEN 500 AND 599"))
+def rate_server_errors_whole(spark, sf_dir):
+    return _whole_rate(spark, sf_dir, "5..")
+
+
+@query(_rate_sql("tenant", "status = 429 AND request_id % 2 <> 0"))
+def rate_concurrency_limited_by_tenant(spark, sf_dir):
+    return _rate(spark, sf_dir, "tenant", monitoring.status_matches("429") & (F.col("request_id") % 2 != 0))
 
 
 @query(_rate_sql("tenant", "status = 429"))
@@ -569,6 +720,19 @@ def latency_quantile_p99(spark, sf_dir):
     return _quantile(spark, sf_dir, 0.99)
 
 
+@query(
+    _REQ + f""", s AS (SELECT op, {_LE} AS bucket, ts - ts % 3600 + 3600 AS t, count(*) AS n FROM requests GROUP BY ALL),
+    c AS (SELECT op, bucket, t, sum(n) OVER (PARTITION BY op, bucket ORDER BY t) AS v FROM s), g AS (SELECT *, coalesce(v - lag(v) OVER (PARTITION BY op, bucket ORDER BY t), 0) AS gain FROM c),
+    w AS (SELECT t - t % 86400 AS start, bucket, sum(gain) AS n FROM g GROUP BY ALL), grid AS (SELECT start, range AS bucket FROM (SELECT DISTINCT start FROM w), range(13)),
+    u AS (SELECT start, q, bucket, sum(coalesce(n, 0)) OVER (PARTITION BY start, q ORDER BY bucket) AS hi, sum(coalesce(n, 0)) OVER (PARTITION BY start, q) * q AS rank, coalesce(n, 0) AS own
+        FROM grid LEFT JOIN w USING (start, bucket), (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) t(q)), e AS (SELECT *, {_EDGES}::DOUBLE[] AS edges FROM u)
+    SELECT start, q, round(CASE WHEN bucket >= 12 THEN 5.0 ELSE edges[bucket + 1] + (edges[bucket + 2] - edges[bucket + 1]) * (rank - (hi - own)) / own END, 9)::DOUBLE AS value FROM e WHERE hi >= rank AND hi - own < rank"""
+)
+def latency_quantile_windows(spark, sf_dir):
+    """p50, p95 and p99 of each window's increases, as the panels show them."""
+    return monitoring.windowed_quantiles(views.requests(spark, sf_dir), [0.5, 0.95, 0.99], 3600, 86400).withColumn("value", F.round("value", 9))
+
+
 @query(
     _SAMPLES + """, k AS (SELECT *, lag(leader_id) OVER (PARTITION BY node, "group" ORDER BY us, event_id) AS was FROM samples WHERE leader_id <> ''),
     c AS (SELECT node, "group", us // 1000000 AS t, row_number() OVER (PARTITION BY node, "group" ORDER BY us, event_id) AS v FROM k WHERE was IS NULL OR was <> leader_id),
@@ -650,6 +814,21 @@ def quorum_commit_index(spark, sf_dir):
     return history.quorum_index(m, 5)
 
 
+@query(
+    """WITH m AS (SELECT 'g' || n_regionkey AS g, n_nationkey * 13 % 31 AS i FROM nation), h AS (SELECT g, list_sort(list(i), 'DESC')[3]::BIGINT AS i FROM m GROUP BY g),
+    now_ AS (SELECT 'g' || r_regionkey AS g, CASE WHEN r_regionkey = 4 THEN 0 ELSE 2 END AS term, CASE WHEN r_regionkey = 3 THEN 30 ELSE 1 END::BIGINT AS old FROM region)
+    SELECT n.g AS "group", CASE WHEN h.i > old AND h.i < 31 AND (h.i * 2) // 31 + 1 = term THEN h.i ELSE old END AS commit_index FROM now_ n LEFT JOIN h USING (g)"""
+)
+def commit_advance(spark, sf_dir):
+    """Each group's log has 31 entries, of term 1 and then of term 2."""
+    n = views.table(spark, sf_dir, "nation")
+    matches = n.select(F.concat(F.lit("g"), F.col("n_regionkey").cast("string")).alias("group"), (F.col("n_nationkey") * 13 % 31).cast("bigint").alias("match_index"))
+    r = F.col("r_regionkey")
+    nodes = views.table(spark, sf_dir, "region").select(F.concat(F.lit("g"), r.cast("string")).alias("group"), F.when(r == 4, 0).otherwise(2).alias("term"), F.when(r == 3, 30).otherwise(1).cast("bigint").alias("commit_index"))
+    entries = nodes.select("group", F.explode(F.expr("sequence(0L, 30L)")).alias("index")).withColumn("term", F.floor(F.col("index") * 2 / 31) + 1)
+    return history.advance_commit(matches, entries, nodes, 5)
+
+
 _LOG = """l AS (SELECT o_custkey % 5 AS "group", row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS "index", o_orderkey % 7 AS term, o_orderstatus || o_orderkey AS payload, o_orderkey AS k FROM orders)"""
 
 
@@ -681,6 +860,13 @@ def replica_convergence(spark, sf_dir):
     return history.divergent(a.unionByName(b).unionByName(a))
 
 
+@query(f"""WITH {_LOG} SELECT "group", "index", CASE WHEN "index" % 211 = 0 THEN 1 ELSE 2 END + ("index" % 300 <> 0)::INT AS held, 3 AS replicas FROM l WHERE "index" % 211 = 0 OR "index" % 300 = 0""")
+def replica_gaps(spark, sf_dir):
+    a = _entries(spark, sf_dir).select("group", "index", F.lit("a").alias("replica"))
+    b = a.where("index % 211 <> 0").withColumn("replica", F.lit("b"))
+    return history.lacking(a.unionByName(b).unionByName(a.where("index % 300 <> 0").withColumn("replica", F.lit("c"))))
+
+
 def _histories(spark, sf_dir):
     """Every command of a key as an operation with the fold's result, in flight from the key's command before it to that after it."""
     from pyspark.sql import Window
@@ -754,8 +940,73 @@ def console_tenant_search(spark, sf_dir):
 
 @query(_HOURLY + " SELECT tenant_id, bucket, kind, op, status, count FROM usage_buckets")
 def stream_hourly_usage(spark, sf_dir):
-    """Usage buckets kept by a stream over the events' files, one version a micro-batch."""
+    """Usage buckets kept by a stream over the events' files."""
     target, checkpoint = scratch(spark, "usage"), scratch(spark, "offsets")
     source = views.events_stream(spark, sf_dir)
     streams.hourly_usage(source, target, checkpoint)
-    return streams.latest(spark, target).select("tenant_id", "bucket", "kind", "op", "status", "count")
+    return streams.usage_table(spark, target).select("tenant_id", "bucket", "kind", "op", "status", "count")
+
+
+@query(_HOURLY + " SELECT * FROM usage_buckets")
+def usage_backup(spark, sf_dir):
+    """A copy of the stored buckets, read back."""
+    return formats.backup(_buckets(spark, sf_dir), scratch(spark, "backup"))
+
+
+@query(
+    sql("users", "tenants") + """ SELECT id, CASE WHEN id % 9 <> 0 THEN 'user' || id || '@example.com' END AS email, tenant_id ~ '^[a-z0-9][a-z0-9_-]{0,62}$' AS is_tenant, c_name ~ '^[a-z0-9][a-z0-9_-]{0,62}$' AS name_is_tenant,
+        'key_live_' || lower(lpad(to_hex(id), 8, '0')) AS prefix, id % 2 = 0 AS is_prefix, 't:' || tenant_id || ':' || c_name AS key, strftime(make_timestamp((1704067200 + id * 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created FROM users"""
+)
+def scalar_functions(spark, sf_dir):
+    u = views.users(spark, sf_dir)
+    prefix = F.concat(F.lit("key_live_"), F.lpad(F.hex("id"), 8, "0"))
+    return u.select(
+        "id", text.normal_email(F.col("email")).alias("email"), text.is_tenant_id(F.col("tenant_id")).alias("is_tenant"), text.is_tenant_id(F.col("c_name")).alias("name_is_tenant"),
+        F.lower(prefix).alias("prefix"), text.is_key_prefix(F.when(F.col("id") % 2 == 0, F.lower(prefix)).otherwise(F.concat(prefix, F.lit("0")))).alias("is_prefix"),
+        text.namespaced(F.col("tenant_id"), F.col("c_name")).alias("key"), text.rfc3339(F.lit(1704067200) + F.col("id") * 60).alias("created"),
+    )
+
+
+_BOUNDS = ", ".join(f"'{b:g}'" for b in metering.LATENCY_BOUNDS)
+_PAGE = _REQ + f""", lim AS (SELECT tenant, request_id % 2 AS kind, count(*) AS n FROM requests WHERE status = 429 GROUP BY ALL),
+    h AS (SELECT op, {_LE} AS bucket, count(*) AS n FROM requests GROUP BY ALL), grid AS (SELECT op, range AS bucket FROM (SELECT DISTINCT op FROM requests), range(13)),
+    cum AS (SELECT op, bucket, sum(coalesce(n, 0)) OVER (PARTITION BY op ORDER BY bucket)::BIGINT AS v FROM grid LEFT JOIN h USING (op, bucket)), sums AS (SELECT op, sum(latency_s) AS s, count(*) AS n FROM requests GROUP BY op),
+    page AS (SELECT 0 AS m, '' AS a, '' AS b, -2 AS c, '# HELP gateway_requests_total HTTP requests handled, by tenant, op and status.' AS line UNION ALL SELECT 0, '', '', -1, '# TYPE gateway_requests_total counter'
+    UNION ALL SELECT 0, tenant, op, status, 'gateway_requests_total{{tenant="' || tenant || '",op="' || op || '",status="' || status || '"}} ' || count(*) FROM requests GROUP BY tenant, op, status
+    UNION ALL SELECT 1, '', '', -2, '# HELP gateway_rate_limited_total Requests rejected by the rate limit.' UNION ALL SELECT 1, '', '', -1, '# TYPE gateway_rate_limited_total counter'
+    UNION ALL SELECT 1, tenant, '', 0, 'gateway_rate_limited_total{{tenant="' || tenant || '"}} ' || n FROM lim WHERE kind = 0
+    UNION ALL SELECT 2, '', '', -2, '# HELP gateway_concurrency_limited_total Requests rejected by the concurrency cap.' UNION ALL SELECT 2, '', '', -1, '# TYPE gateway_concurrency_limited_total counter'
+    UNION ALL SELECT 2, tenant, '', 0, 'gateway_concurrency_limited_total{{tenant="' || tenant || '"}} ' || n FROM lim WHERE kind <> 0
+    UNION ALL SELECT 3, '', '', -2, '# HELP gateway_request_duration_seconds Request latency, by op.' UNION ALL SELECT 3, '', '', -1, '# TYPE gateway_request_duration_seconds histogram'
+    UNION ALL SELECT 3, op, '', bucket, 'gateway_request_duration_seconds_bucket{{op="' || op || '",le="' || [{_BOUNDS}, '+Inf'][bucket + 1] || '"}} ' || v FROM cum
+    UNION ALL SELECT 3, op, '', 100, 'gateway_request_duration_seconds_sum{{op="' || op || '"}} ' || printf('%.6f', s) FROM sums UNION ALL SELECT 3, op, '', 101, 'gateway_request_duration_seconds_count{{op="' || op || '"}} ' || n FROM sums)
+    SELECT row_number() OVER (ORDER BY m, a, b, c)::INT AS n, line FROM page"""
+
+
+@query(_PAGE)
+def metrics_page(spark, sf_dir):
+    """The whole page of the gateway's metrics, in order."""
+    r = views.requests(spark, sf_dir)
+    limits = metering.limit_counts(r.withColumn("kind", F.when(F.col("request_id") % 2 == 0, "rate").otherwise("conc")))
+    h = metering.histogram(r)
+    return formats.in_order(formats.expose_gateway(metering.request_counts(r), limits, h, metering.cumulative(h)))
+
+
+_GAUGES = {"term": "Current term.", "is_leader": "1 if this node leads the group.", "commit_index": "Highest committed log index.", "last_applied": "Highest applied log index.", "apply_lag": "commit_index minus last_applied."}
+
+
+@query(
+    _SAMPLES + """, s AS (SELECT *, row_number() OVER (PARTITION BY node, "group" ORDER BY us DESC, event_id DESC) AS n FROM samples),
+    v AS (SELECT node, "group" AS g, unnest([0, 1, 2, 3, 4]) AS m, unnest(['term', 'is_leader', 'commit_index', 'last_applied', 'apply_lag']) AS name, unnest([term, (leader_id = node)::BIGINT, commit_index, last_applied, greatest(0, commit_index - last_applied)]) AS x FROM s WHERE n = 1),
+    k AS (SELECT *, lag(leader_id) OVER (PARTITION BY node, "group" ORDER BY us, event_id) AS was FROM samples WHERE leader_id <> ''),
+    page AS (SELECT m, node AS a, g AS b, 0 AS c, 'node_' || name || '{node="' || node || '",group="' || g || '"} ' || x AS line FROM v
+    UNION ALL SELECT 5, node, "group", 0, 'node_leader_changes_total{node="' || node || '",group="' || "group" || '"} ' || count(*) FROM k WHERE was IS NULL OR was <> leader_id GROUP BY node, "group"
+    UNION ALL SELECT m, '', '', -2, '# HELP node_' || name || ' ' || help FROM (VALUES """
+    + ", ".join(f"({i}, '{name}', '{help_text}')" for i, (name, help_text) in enumerate([*_GAUGES.items(), ("leader_changes_total", "Leader changes observed by this node.")]))
+    + """) t(m, name, help) UNION ALL SELECT m, '', '', -1, '# TYPE node_' || name || CASE WHEN m = 5 THEN ' counter' ELSE ' gauge' END FROM (VALUES (0, 'term'), (1, 'is_leader'), (2, 'commit_index'), (3, 'last_applied'), (4, 'apply_lag'), (5, 'leader_changes_total')) t(m, name))
+    SELECT row_number() OVER (ORDER BY m, a, b, c)::INT AS n, line FROM page"""
+)
+def node_metrics_page(spark, sf_dir):
+    samples = views.group_samples(spark, sf_dir)
+    changes = formats.expose_counter(monitoring.leader_changes(samples), 5, "node_leader_changes_total", "Leader changes observed by this node.", ["node", "group"], "changes")
+    return formats.in_order(formats.expose_gauges(monitoring.gauges(samples), 0, "node_", _GAUGES).unionByName(changes))

@@ -12,10 +12,11 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.metering import LATENCY_BOUNDS
+from tidelog.operators.sessions import read_table, write_table
 from tidelog.operators.sharding import default_ranges
 
 #: Fields of a benchmark result: fixed by the format. Error codes vary, so the schema is never inferred.
@@ -61,11 +62,27 @@ def write_snapshot(state: DataFrame, path: str) -> None:
     state.repartitionByRange("group_id", "key").sortWithinPartitions("group_id", "key").write.mode("overwrite").parquet(path)
 
 
+def write_machine(state: DataFrame, sessions: DataFrame, path: str) -> None:
+    """A state machine's snapshot: the engine's keys and the session table (with births), two tables under one path."""
+    write_snapshot(state, f"{path}/engine")
+    write_table(sessions, f"{path}/sessions")
+
+
+def read_machine(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return read_snapshot(spark, f"{path}/engine"), read_table(spark, f"{path}/sessions")
+
+
+def backup(table: DataFrame, path: str) -> DataFrame:
+    """A copy of a stored table as it is now, read back."""
+    table.write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("group_id bigint, key string, value binary").parquet(path)
 
 
-# ---- segment logs: [length u32][crc u32][index u64][term u64][payload], little endian; the crc covers all but itself ----
+# ---- segment logs, a fixed format: [length u32][crc u32][index u64][term u64][payload], little endian; the crc covers all but itself ----
 
 HEADER = 24
 
@@ -111,13 +128,65 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 # ---- text exposition of metrics -------------------------------------------------------------------------------------
 
 
+def _quoted(text: Column) -> Column:
+    """A label's value: backslash, quote and newline escaped."""
+    return F.replace(F.replace(F.replace(text.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+
+
 def _line(name: str, labels: list[tuple[str, Column]], value: Column) -> Column:
     parts: list[Column] = [F.lit(name + "{")]
     for i, (label, column) in enumerate(labels):
-        parts += [F.lit(f'{"," if i else ""}{label}="'), column.cast("string"), F.lit('"')]
+        parts += [F.lit(f'{"," if i else ""}{label}="'), _quoted(column), F.lit('"')]
     return F.concat(*parts, F.lit("} "), value.cast("string"))
 
 
+def _place(metric: int, a: Column | str = "", b: Column | str = "", c: Column | int = 0) -> Column:
+    """Where a line stands: by metric, then by its labels; heads (c of -1) first."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(F.lit(metric).alias("metric"), as_column(a).cast("string").alias("a"), as_column(b).cast("string").alias("b"), as_column(c).cast("int").alias("c")).alias("place")
+
+
+def _head(spark: SparkSession, metric: int, name: str, kind: str, help_text: str) -> DataFrame:
+    lines = F.explode(F.array(F.struct(F.lit(-2).alias("c"), F.lit(f"# HELP {name} {help_text}").alias("line")), F.struct(F.lit(-1).alias("c"), F.lit(f"# TYPE {name} {kind}").alias("line"))))
+    return spark.range(1).select(lines.alias("h")).select(_place(metric, c=F.col("h.c")), "h.line")
+
+
+def expose_counter(counts: DataFrame, metric: int, name: str, help_text: str, labels: list[str], value: str) -> DataFrame:
+    """place, line of a counter with up to two labels, its head included; lines go by the labels."""
+    own = [F.col(x) for x in labels]
+    lines = counts.select(_place(metric, *own), _line(name, [(x, F.col(x)) for x in labels], F.col(value)).alias("line"))
+    return _head(counts.sparkSession, metric, name, "counter", help_text).unionByName(lines)
+
+
+def expose_gauges(gauges: DataFrame, metric: int, prefix: str, names: dict[str, str]) -> DataFrame:
+    """place, line of each gauge (column: help text) by node and group."""
+    out = None
+    for i, (name, help_text) in enumerate(names.items()):
+        lines = gauges.select(_place(metric + i, F.col("node"), F.col("group")), _line(prefix + name, [("node", F.col("node")), ("group", F.col("group"))], F.col(name)).alias("line"))
+        both = _head(gauges.sparkSession, metric + i, prefix + name, "gauge", help_text).unionByName(lines)
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def expose_gateway(requests: DataFrame, limits: DataFrame, histogram: DataFrame, cumulative: DataFrame, prefix: str = "gateway_") -> DataFrame:
+    """place, line: request counters, both limits' counters, and latency buckets with sum and count by op, heads included."""
+    spark = requests.sparkSession
+    out = _head(spark, 0, prefix + "requests_total", "counter", "HTTP requests handled, by tenant, op and status.").unionByName(expose_requests(requests, prefix + "requests_total"))
+    for metric, kind, name, text in ((1, "rate", "rate_limited_total", "Requests rejected by the rate limit."), (2, "conc", "concurrency_limited_total", "Requests rejected by the concurrency cap.")):
+        out = out.unionByName(expose_counter(limits.where(F.col("kind") == kind), metric, prefix + name, text, ["tenant"], "refused"))
+    name = prefix + "request_duration_seconds"
+    sums = histogram.groupBy("op").agg(F.sum("seconds").alias("seconds"), F.sum("count").alias("count"))
+    buckets = expose_histogram(cumulative, name).withColumn("place", _place(3, F.col("place.a"), "", F.col("place.c")))
+    total = sums.select(_place(3, F.col("op"), "", 100), _line(name + "_sum", [("op", F.col("op"))], F.format_string("%.6f", "seconds")).alias("line"))
+    count = sums.select(_place(3, F.col("op"), "", 101), _line(name + "_count", [("op", F.col("op"))], F.col("count")).alias("line"))
+    return out.unionByName(_head(spark, 3, name, "histogram", "Request latency, by op.")).unionByName(buckets).unionByName(total).unionByName(count)
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    """n, line: the lines of one exposition page numbered in order; a page holds counters, not requests."""
+    return lines.select(F.row_number().over(Window.orderBy("place")).alias("n"), "line")
+
+
 def expose_requests(counts: DataFrame, name: str = "requests_total") -> DataFrame:
     """place, line: request counters in order of tenant, op and status."""
     place = F.struct(F.lit(0).alias("metric"), F.col("tenant").alias("a"), F.col("op").alias("b"), F.col("status").cast("int").alias("c"))

@@ -109,6 +109,30 @@ def group_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """request_id, ts, tenant, method, path, status: requests as the gateway sees them, some of them unauthenticated."""
+    e = events(spark, sf_dir)
+    method = F.when(F.col("event_type") == "signup", "PUT").when(F.col("event_type") == "error", "DELETE").when(F.col("event_type") == "purchase", "POST").otherwise("GET")
+    k = F.col("event_id") % 5
+    path = F.when(k == 0, "/kv").when(k == 1, "/v1/usage").when(k == 2, "/kv/").otherwise(F.concat(F.lit("/kv/k"), F.col("user_id").cast("string")))
+    status = F.when(F.col("event_id") % 17 == 0, 401).when(F.col("event_type") == "error", 500).otherwise(200)
+    tenant = F.concat(F.lit("tn"), (F.col("user_id") % 8).cast("string"))
+    return e.select(F.col("event_id").alias("request_id"), F.floor(F.col("us") / 1_000_000).cast("bigint").alias("ts"), tenant.alias("tenant"), method.alias("method"), path.alias("path"), status.alias("status"))
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, email, tenant_id from customers; some nations are no tenants."""
+    k = F.col("c_custkey")
+    email = F.concat(F.lit(" User"), k.cast("string"), F.when(k % 9 == 0, " at").otherwise("@"), F.lit("Example.COM "))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), email.alias("email"), F.concat(F.lit("tn"), (F.col("c_nationkey") + F.when(k % 10 == 0, 100).otherwise(0)).cast("string")).alias("tenant_id"), "c_name")
+
+
+def login_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_hash, user_id, expires_at (seconds) from orders."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.sha2(k.cast("string"), 256).alias("token_hash"), F.col("o_custkey").alias("user_id"), (F.lit(NOW - 3600) + k % 7200).alias("expires_at"))
+
+
 _US = "epoch_us(ts)"
 SQL = {
     "oplog": f"""
@@ -131,6 +155,15 @@ SQL = {
     "api_keys": f"""
         api_keys AS (SELECT 'k' || lpad(c_custkey::VARCHAR, 9, '0') AS prefix, sha256(c_name) AS hash, 'tn' || c_nationkey AS tenant_id, 1704067200 + c_custkey * 60 AS created_at,
             CASE WHEN c_custkey % 3 = 0 THEN {NOW - 86400} + (c_custkey % 5) * 43200 END AS expires_at, CASE WHEN c_custkey % 7 = 0 THEN {NOW - 3600} - c_custkey END AS revoked_at FROM customer)""",
+    "routed": f"""
+        routed AS (SELECT event_id AS request_id, {_US} // 1000000 AS ts, 'tn' || (user_id % 8) AS tenant, CASE event_type WHEN 'signup' THEN 'PUT' WHEN 'error' THEN 'DELETE' WHEN 'purchase' THEN 'POST' ELSE 'GET' END AS method,
+            CASE event_id % 5 WHEN 0 THEN '/kv' WHEN 1 THEN '/v1/usage' WHEN 2 THEN '/kv/' ELSE '/kv/k' || user_id END AS path,
+            CASE WHEN event_id % 17 = 0 THEN 401 WHEN event_type = 'error' THEN 500 ELSE 200 END AS status FROM events)""",
+    "users": """
+        users AS (SELECT c_custkey AS id, ' User' || c_custkey || CASE WHEN c_custkey % 9 = 0 THEN ' at' ELSE '@' END || 'Example.COM ' AS email,
+            'tn' || (c_nationkey + CASE WHEN c_custkey % 10 = 0 THEN 100 ELSE 0 END) AS tenant_id, c_name FROM customer)""",
+    "login_sessions": f"""
+        login_sessions AS (SELECT sha256(o_orderkey::VARCHAR) AS token_hash, o_custkey AS user_id, {NOW - 3600} + o_orderkey % 7200 AS expires_at FROM orders)""",
     "samples": f"""
         samples AS (SELECT {_US} AS us, event_id, 'n' || (user_id % 3) AS node, 'g' || (event_id % 4) AS "group",
             CASE WHEN event_type = 'error' THEN '' ELSE 'n' || (floor(value)::BIGINT % 3) END AS leader_id, {_US} // 3600000000 AS term,
