@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate, html_text, language, line_dedup, minhash, toxicity
+from tests.llm.pages import PAGES
 from tidelog.llm.common import words_of
 
 DOC = "doc_id bigint, text string"
@@ -38,6 +40,34 @@ def test_pages(html_model, page, blocks):
     assert html_text.blocks_of([html_text.Page(page)], *html_model) == [blocks]
 
 
+def test_pages_that_no_generator_wrote(spark):
+    """Whole main texts; three short blocks beside them are taken in too: a skip link, a heading of comments, a shop's name."""
+    html_model = html_text.train(spark)
+    right = wrong = missed = 0
+    for page, want in PAGES:
+        got = html_text.blocks_of([html_text.Page(page)], *html_model)[0]
+        right += len(set(got) & set(want))
+        wrong += len(set(got) - set(want))
+        missed += len(set(want) - set(got))
+    assert right == sum(len(want) for _, want in PAGES) and not missed and wrong <= 3, (right, wrong, missed)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a '\">", "</b", "<script ", "<!-", "<x y=\"'> ", "<x-y>", "<p><x>", "<x></y>", "<"])
+def test_broken_pages_take_time_in_proportion(piece):
+    def seconds(n: int) -> float:
+        page = "<p>word " + piece * (n // len(piece))
+        begin = time.process_time()
+        html_text.Page(page)
+        return time.process_time() - begin
+
+    assert seconds(1_000_000) < 20
+
+
+def test_foreign_elements(html_model):
+    page = "<article><p>one <svg viewBox='0 0 1 1'/> two</p><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><svg><text>no</text></svg><p>a < b</p></article>"
+    assert html_text.blocks_of([html_text.Page(page)], *html_model) == [["one two", "so x=2 holds", "a < b"]]
+
+
 def test_marginals_equal_enumeration(html_model):
     table, edges = html_model
     page = html_text.Page("<div class='post'><p>a b c</p><aside>d</aside></div>")

@@ -36,9 +36,10 @@ TRAINING_PAGES = 1_500
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rt rp rtc s samp small span strike strong sub sup time tt u var center nobr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rt rp rtc s samp small span strike strong sub sup time tt u var center nobr "
+    "svg math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mspace semantics".split()
 )
-NO_TEXT = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title head xmp noembed noframes".split())
+NO_TEXT = frozenset("script style noscript template iframe object svg canvas audio video select textarea title head xmp noembed noframes".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
 )
@@ -50,16 +51,19 @@ IMPLIED = {
     "option": ({"option"}, {"select", "datalist"}), "body": ({"head"}, {"html"}),
 }
 
+_ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|textarea|title|xmp|noembed|noframes)(?![\w-])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<raw>script|style|noscript|template|iframe|textarea|title|xmp|noembed|noframes|annotation|annotation-xml)(?![\w-]){_ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<svg(?![\w-]){_ATTRIBUTES}(?<!/)>.*?(?:</svg\s*>|\Z)"
     r"|</(?P<end>[a-z][^\s/>]*)[^>]*>"
-    r"|<(?P<start>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
+    rf"|<(?P<start>[a-z][^\s/>]*)(?P<attrs>{_ATTRIBUTES})>"
     r"|<(?P<odd>[a-z][^\s/>]*)(?P<odd_attrs>[^>]*)>"
-    r"|<[!?/][^>]*>"
-    r"|<[a-z/!?][^<>]*\Z",
+    r"|<[!?/][^>]*>",
     re.I | re.S,
 )
+#: A tag that the page ends in.
+CUT = re.compile(r"<[a-z/!?][^<>]*\Z", re.I | re.S)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_PART = re.compile(r"[a-z]+")
 
@@ -74,6 +78,7 @@ class Page:
         self.label: list[int | None] = [None]
         self.tags: list[str] = [""]
         self._open: list[int] = [0]
+        self._count: Counter = Counter()  # open elements by tag
         self._text: list[str] = []
         self._in_link = 0
         self._linked = 0
@@ -110,30 +115,53 @@ class Page:
             self.texts[len(self.parent) - 1] = text
         self._text, self._linked = [], 0
 
+    def _drop(self, i: int) -> None:
+        """End the open elements from the i-th on."""
+        self._flush()
+        for node in self._open[i:]:
+            self._count[self.tags[node]] -= 1
+        del self._open[i:]
+
     def _close(self, names: set, stops: set) -> None:
         """End the open elements down to the outermost of ``names`` above the nearest of ``stops``."""
+        if not any(self._count[n] for n in names):
+            return
+        last = None
         for i in range(len(self._open) - 1, 0, -1):
             tag = self.tags[self._open[i]]
             if tag in stops:
-                return
+                break
             if tag in names:
-                self._flush()
-                del self._open[i:]
-                return self._close(names, stops) if len(names) > 1 else None
+                last = i
+        if last is not None:
+            self._drop(last)
 
     def _read(self, source: str) -> None:
-        at = 0
-        for m in TOKEN.finditer(source):
-            if m.start() > at:
-                self._add(source[at : m.start()])
+        """Every character is read a bounded number of times: no tag begins behind the last ``>``, so none is sought there."""
+        at, end = 0, source.rfind(">") + 1
+        while True:
+            begin = source.find("<", at, end)
+            m = TOKEN.match(source, begin) if begin >= 0 else None
+            if begin < 0:
+                break
+            if m is None:  # a bare "<"
+                self._add(source[at : begin + 1])
+                at = begin + 1
+                continue
+            if begin > at:
+                self._add(source[at:begin])
             at = m.end()
             tag = m["start"] or m["odd"]
             if tag:
                 self._begin(tag.lower(), m["attrs"] or m["odd_attrs"] or "")
             elif m["end"]:
                 self._end(m["end"].lower())
-        if at < len(source):
-            self._add(source[at:])
+        rest = source[max(at, 0) :]
+        cut = rest.rfind("<")
+        if cut >= 0 and CUT.match(rest, cut):
+            rest = rest[:cut]
+        if rest:
+            self._add(rest)
         self._flush()
 
     def _add(self, text: str) -> None:
@@ -156,24 +184,26 @@ class Page:
             self._close({"p"}, {"button", "td", "th", "table"} | (CLOSES_P - {"p"}))
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
-        if tag == "hr" or (tag in ("html", "body") and any(self.tags[i] == tag for i in self._open)):
+        if tag == "hr" or (tag in ("html", "body") and self._count[tag]):
             return
-        node = self._node(tag, attrs)
-        self._open.append(node)
+        self._open.append(self._node(tag, attrs))
+        self._count[tag] += 1
 
     def _end(self, tag: str) -> None:
         if tag in INLINE:
             self._in_link = max(0, self._in_link - (tag == "a"))
             return
-        if tag in ("br", "p") and not any(self.tags[i] == tag for i in self._open):
-            self._flush() if tag == "p" else self._text.append(" ")
-            return
-        for i in range(len(self._open) - 1, 0, -1):
-            if self.tags[self._open[i]] == tag:
+        if not self._count[tag]:
+            if tag == "p":
                 self._flush()
-                self._in_link = 0
-                del self._open[i:]
-                return
+            elif tag == "br":
+                self._text.append(" ")
+            return
+        i = len(self._open) - 1
+        while self.tags[self._open[i]] != tag:
+            i -= 1
+        self._drop(i)
+        self._in_link = 0
 
 
 # ---- labelled pages -------------------------------------------------------------------------------------------------
@@ -202,20 +232,29 @@ def labelled_page(seed: int) -> str:
         n = round(low * (high / low) ** r.random())
         return " ".join("".join(r.choice("aeiounrstlkmd") for _ in range(r.randint(1, 9))) for _ in range(n)).capitalize() + r.choice(["", ".", ".", "!", ":"])
 
+    def built() -> str:
+        return f'{r.choice(["css", "sc", "jsx", "c"])}-{r.choice("abcdefghijk")}{r.randint(1, 99)}{r.choice("abcdefghijk")}'
+
     def named(kind: tuple[str, str], label: int, plain: float) -> tuple[str, str]:
         tags, names = kind[0].split(), kind[1].split()
         tag = tags[0] if r.random() < 0.5 else r.choice(tags)
         own = r.sample(names, r.randint(1, 2)) if r.random() > plain or tag in ("div", "p", "section", "ul", "ol") else []
-        if own and kind is not NEUTRAL and r.random() < 0.2:
+        if own and r.random() < 0.15:
+            own = [built()]
+        elif own and kind is not NEUTRAL and r.random() < 0.2:
             own.insert(r.randint(0, len(own)), r.choice(NEUTRAL[1].split()))
         attr = f' {r.choice(["class", "class", "id", "role"])}="{r.choice(" -_").join(own)}"' if own else ""
         return f'<{tag}{attr} data-y="{label}">', f"</{tag}>"
 
+    def plain_name() -> str:
+        """Attributes of content that say nothing: none, or a class as build tools write them."""
+        return f' class="{built()}"' if r.random() < 0.2 else ""
+
     def paragraph() -> str:
         inner = words(1, 90)
         if r.random() < 0.15:
             inner += f' <a href="#">{words(1, 4)}</a> ' + words(1, 20)
-        return f"<p>{inner}</p>"
+        return f"<p{plain_name()}>{inner}</p>"
 
     def items(tag: str) -> str:
         return f"<{tag}>" + "".join(f"<li>{words(1, 25)}</li>" for _ in range(r.randint(2, 6))) + f"</{tag}>"
@@ -225,7 +264,7 @@ def labelled_page(seed: int) -> str:
         if kind < 0.70:
             return paragraph()
         if kind < 0.78:
-            return f"<h{(n := r.randint(1, 4))}>{words(1, 12)}</h{n}>"
+            return f"<h{(n := r.randint(1, 4))}{plain_name()}>{words(1, 12)}</h{n}>"
         if kind < 0.84:
             return items(r.choice(["ul", "ol"]))
         if kind < 0.87:
@@ -398,10 +437,12 @@ PAGES_AT_ONCE = 512
 def extract(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> DataFrame:
     """``pages`` with text (main text, blocks joined by two newlines; empty if none) and blocks.
 
-    pages: html and any columns. Null and empty html give an empty text. White space
-    inside a block becomes one space; br counts as white space. Unclosed and misnested
-    elements end where the HTML standard's common rules end them. Input columns named
-    text or blocks give way to the result; repeated rows get equal results.
+    pages: html and any columns. Null and empty html give an empty text; an empty table
+    gives an empty one. White space inside a block becomes one space; br counts as white
+    space. Unclosed and misnested elements end where the HTML standard's common rules end
+    them; a page may have any length, well formed or not, and takes time in proportion.
+    A content marginal of exactly one half is content. Input columns named text or blocks
+    give way to the result, in any case of letters; repeated rows get equal results.
     """
     sc = pages.sparkSession.sparkContext
     model = sc.broadcast(train(pages.sparkSession, training_pages))
