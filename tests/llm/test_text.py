@@ -170,6 +170,45 @@ def toxic_rows(n=240):
     return rows, labels
 
 
+def test_word_ratios_by_hand():
+    """The two models' probabilities written out: each sums to one over all words, and rare words have the backoff's ratio."""
+    r = np.random.default_rng(0)
+    size = 400
+    uni = np.stack([r.integers(0, 40, size), r.integers(0, 6, size)], 1).astype(float)
+    uni[:5, 1] += 30
+    shared = r.random(size)
+    shared /= shared.sum()
+    n = uni.sum(0)
+    for d in (2.0, 6.0):
+        got = toxicity.word_ratios(uni, shared, d, n, size)
+        p = np.zeros((size, 2))
+        for c in (0, 1):
+            kept = []
+            for w in range(size):
+                explained = n[c] * (uni[w].sum() + 0.5) / (uni.sum() + 0.5 * size)
+                kept.append(max(uni[w, c] - explained - d * explained**0.5, 0) / n[c])
+            p[:, c] = np.array(kept) + (1 - sum(kept)) * shared
+        assert np.allclose(p.sum(0), 1)
+        low = [w for w in range(size) if not toxicity.left_over(uni, d, n, size)[w].any()]
+        plain = np.log(p[low[0], 1] / p[low[0], 0])
+        assert np.allclose(got, np.log(p[:, 1] / p[:, 0]) - plain) and np.allclose(got[low], 0) and (got[:5] > 0.9).all()
+        kept = [w for w in range(size) if w not in low]  # words that tell nothing need not be kept
+        assert np.allclose(toxicity.word_ratios(uni[kept], shared[kept], d, n, size), got[kept])
+
+
+def test_toxicity_of_many_words(spark, monkeypatch):
+    """Scores are the same whether the words that tell something are broadcast or joined; 90,000 words that tell nothing cut none off."""
+    rows, labels = toxic_rows()
+    rows = [(i, t + " " + " ".join(f"x{i}y{j}" for j in range(400))) for i, t in rows]
+    docs, table = spark.createDataFrame([*rows, (2000, None), (2001, "vile " * 50_000)], DOC), spark.createDataFrame([*labels, (0, 0), (None, 1)], "doc_id bigint, toxic int")
+    one = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, table).collect()}
+    monkeypatch.setattr(toxicity, "BROADCAST_BYTES", 0)
+    two = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, table).collect()}
+    assert one.keys() == two.keys() and all(abs(one[i] - two[i]) < 1e-9 for i in one)
+    assert sum((one[i] >= 0.3) == bool(y) for i, y in labels) > 0.97 * len(labels) and one[2001] > 0.3 > one[2000]
+    assert toxicity.score_toxicity(spark.createDataFrame([], DOC), table).count() == 0
+
+
 def test_toxicity(spark):
     rows, labels = toxic_rows()
     docs = spark.createDataFrame([*rows, (1000, None), (1001, ""), (1002, "?!"), (0, rows[0][1])], DOC).withColumn("Score", F.lit("x"))
