@@ -15,7 +15,9 @@ from tidelog.llm import chat, components, mixing, url_filter, vector_dedup
 from tidelog.llm.queries import RULES
 
 
-def test_components(spark):
+@pytest.mark.parametrize("heavy", [1_000, 3])
+def test_components(spark, heavy, monkeypatch):
+    monkeypatch.setattr(components, "HEAVY", heavy)  # at 3 most nodes are joined apart
     r = random.Random(0)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
     root = {}
@@ -221,22 +223,85 @@ def test_mixing_without_labels(spark):
     assert {x.rate for x in out} == {1.0}
 
 
-def test_pipeline(spark):
-    """Stages in order against what each operator alone says, on the smallest tables."""
+def test_pipeline_against_brute_force(spark):
+    """Every stage's decision made again in plain Python, but for the toxicity scores, on the smallest tables."""
     import corpus_pipeline
-    from tidelog.llm import decontaminate, line_dedup, minhash, toxicity
+    from tests.llm.test_text import brute_leaks, brute_texts
+    from tidelog.llm import minhash, toxicity
+    from tidelog.llm.common import words_of
+    from tidelog.llm.queries import MIX_WEIGHTS, quality_domains
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    out = corpus_pipeline.run(spark, d).collect()
-    left = docs.join(toxicity.score_toxicity(docs, spark.read.parquet(f"{d}/labels.parquet")).where("predicted = 0").select("doc_id"), "doc_id").select(*docs.columns)
-    texts = {r.doc_id: r.text for r in line_dedup.dedup_lines(left).collect()}
-    cleaned = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    kept = {r.doc_id for r in minhash.near_duplicates(cleaned).collect() if r.kept}
-    clean = {r.doc_id for r in decontaminate.find_leaks(cleaned, spark.read.parquet(f"{d}/benchmark.parquet")).collect() if not r.n_hit}
-    assert {r.doc_id for r in out} == kept & clean
-    assert all(r.text == texts[r.doc_id] and r.n_chars == len(r.text) for r in out)
-    assert Counter(r.doc_id for r in out).most_common(1)[0][1] == 1
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    flagged = {r.doc_id for r in toxicity.score_toxicity(docs, labels).where("predicted = 1").select("doc_id").collect()}
+    left = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id not in flagged)
+    texts = {doc: text for (doc, _), text in zip(left, brute_texts(left), strict=True)}
+    bags = {i: Counter(minhash.shingles_of(words_of((t or "").encode()))) for i, t in texts.items()}
+    class_of = {i: i for i in bags}
+
+    def find(x):
+        while class_of[x] != x:
+            x = class_of[x]
+        return x
+
+    ids = sorted(bags)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if bags[a] and bags[b] and minhash.weighted_jaccard(bags[a], bags[b]) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                class_of[y] = x
+    items = [tuple(r) for r in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text").collect()]
+    kept = {i for i in ids if find(i) == i and not brute_leaks(texts[i], items)[1]}
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, d).collect()}
+    assert set(out) == kept and len(out) < len(left) < docs.count()
+    assert all(r.text == texts[i] and r.n_chars == len(r.text) and r.n_tokens == len(words_of(r.text.encode())) for i, r in out.items())
+    # rates: those of projected gradient steps in memory. So few labels teach little, the targets are out of reach, and no small change comes nearer
+    final = spark.createDataFrame([(i, texts[i]) for i in sorted(kept)], "doc_id bigint, text string")
+    scored, domains = mixing.posteriors(final, quality_domains(spark, d))
+    p = {r.doc_id: np.array(r.posterior) for r in scored.collect()}
+    t, rate = np.array([out[i].n_tokens for i in sorted(kept)]), np.array([out[i].rate for i in sorted(kept)])
+    post, target = np.stack([p[i] for i in sorted(kept)]), t.sum() * np.array([MIX_WEIGHTS[x] for x in domains])
+
+    def rates(steps):
+        x = np.ones(len(t))
+        for g in steps:
+            x = np.maximum(0, x - post @ g)
+        return x
+
+    def passed(steps):
+        x = rates(steps)
+        return (t * x) @ post, (post * (t * (x > 0))[:, None]).T @ post
+
+    assert np.allclose(rates(mixing.descend(passed, target)[0]), rate, atol=1e-6) and (rate >= 0).all()
+    assert np.abs((t * rate) @ post - target).sum() <= np.abs(t @ post - target).sum()
+    assert all(np.floor(r.rate) <= r.n_copies <= np.floor(r.rate) + 1 for r in out.values())
+
+
+CLASH = ["score", "predicted", "llr", "held_out", "n_words", "hit_spans", "n_hit", "items", "n_lines", "n_dropped", "dropped_lines", "kept_sha256", "copy_of", "class_id", "kept", "n_tokens", "rate", "n_copies", "posterior", "Text2"]
+
+
+def test_stages_keep_what_they_do_not_decide(spark, tmp_path):
+    """Null and empty texts, repeated rows, null ids and columns named like results, stage by stage; and no rows at all."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    for name, rows, kind in (("labels", [(i, i % 2, int(i % 4 == 0)) for i in range(40)], "doc_id bigint, quality int, toxic int"), ("benchmark", [(1, "one two three four five six seven eight nine ten eleven")], "item_id bigint, text string")):
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    texts = [" ".join(r.choice("red green blue white black grey pink".split()) + str(r.randrange(50)) for _ in range(30)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(50, None), (51, ""), (52, "?!"), (53, "word " * 60_000), (None, "lone text"), (None, None), (3, texts[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[f"{i}{c}" for c in CLASH]) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in CLASH))
+    seen = docs
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        own = ["n_tokens", "rate", "n_copies"] if n == 4 else []
+        assert out.columns == [c for c in docs.columns if c not in own] + own, name
+        got = out.collect()
+        for c in set(CLASH) - set(own):
+            assert all(x[c] == f"{x.doc_id}{c}" for x in got), (name, c)
+        assert {x.doc_id for x in got} >= {50, 51, 52, 53, None} and sum(x.doc_id is None for x in got) == 2, name
+        assert sum(x.doc_id == 3 for x in got) == (1 if name == "minhash_dedup" else 2), name
+        assert stage(spark, seen.where("false"), str(tmp_path)).count() == 0
 
 
 @pytest.mark.parametrize("name", ["op1_html_extract", "op7_chat_format"])

@@ -111,24 +111,29 @@ def test_perfect_hash():
         assert sorted(p.index(keys)) == list(range(len(keys)))
 
 
-def brute_lines(rows, min_chars=20, min_docs=3):
+def brute_kept(rows, min_chars=20, min_docs=3):
+    def key(line):
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+
     docs = {}
     for doc, text in rows:
-        for line in (text or "").split("\n"):
-            k = line.strip(" \t\n\x0b\x0c\r")
-            k = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in k)
+        for k in map(key, (text or "").split("\n")):
             if len(k) >= min_chars:
                 docs.setdefault(k, set()).add(-(2**63) if doc is None else doc)
-    out = []
     for doc, text in rows:
         own = -(2**63) if doc is None else doc
-        lines = (text or "").split("\n")
-        kept = []
-        for line in lines:
-            k = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
-            if len(docs.get(k, ())) < min_docs or max(docs[k]) == own:
-                kept.append(line)
-        out.append((doc, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+        yield [line for line in (text or "").split("\n") if len(docs.get(key(line), ())) < min_docs or max(docs[key(line)]) == own]
+
+
+def brute_texts(rows):
+    return [None if text is None else "\n".join(kept) for (_, text), kept in zip(rows, brute_kept(rows), strict=True)]
+
+
+def brute_lines(rows):
+    out = []
+    for (doc, text), kept in zip(rows, brute_kept(rows), strict=True):
+        n = len((text or "").split("\n"))
+        out.append((doc, n, n - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return Counter(out)
 
 

@@ -306,8 +306,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     is ``similarity`` or more and they share a band (at 0.8 and the standard bands one
     pair in 1,500 does not, at 0.85 one in 300,000); classes are the connected components of all links, class_id
     the smallest doc_id in one, kept marks it. Texts of equal words are copies and meet as
-    one node. Rows that share a doc_id are one document; texts without words, and null
-    doc_ids, link with nothing and are kept.
+    one node. Rows that share a doc_id are one document; null, empty and wordless texts, and
+    null doc_ids, link with nothing and are kept. Texts may have any length; one of fewer
+    words than a shingle is one shingle. An empty table gives an empty one; other columns,
+    whatever their names, are left out.
 
     No bucket gives all its pairs. Members are first verified against their bucket's
     smallest, which joins most of a group; only documents that then still lie in
