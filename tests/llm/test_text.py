@@ -191,7 +191,7 @@ def test_word_ratios_by_hand():
             kept = []
             for w in range(size):
                 explained = n[c] * (uni[w].sum() + 0.5) / (uni.sum() + 0.5 * size)
-                kept.append(max(uni[w, c] - explained - d * explained**0.5, 0) / n[c])
+                kept.append(max(uni[w, c] - explained - d * explained**0.5, 0) / n[c] if uni[w].sum() > 1 else 0.0)
             p[:, c] = np.array(kept) + (1 - sum(kept)) * shared
         assert np.allclose(p.sum(0), 1)
         low = [w for w in range(size) if not toxicity.left_over(uni, d, n, size)[w].any()]

@@ -54,10 +54,10 @@ def word_ratios(uni: np.ndarray, shared: np.ndarray, discount: float, n: np.ndar
 
 
 def left_over(uni: np.ndarray, discount: float, n: np.ndarray, size: int) -> np.ndarray:
-    """words x 2: what the discount leaves of the counts."""
+    """words x 2: what the discount leaves of the counts; nothing of a word of a single document."""
     common = (uni.sum(1) + 0.5) / (n.sum() + 0.5 * size)
     explained = np.maximum(n, 1.0) * common[:, None]
-    return np.maximum(uni - explained - discount * np.sqrt(explained), 0)
+    return np.maximum(uni - explained - discount * np.sqrt(explained), 0) * (uni.sum(1) > 1)[:, None]
 
 
 def ratios(texts: list[bytes | None], ids: dict[bytes, int], word: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -133,14 +133,14 @@ def _document_counts(sample: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
 
 def _telling(counts: DataFrame, size: int, n: np.ndarray) -> DataFrame:
     """Words that the smallest discount leaves something of, in a class, in one of the models; all others tell nothing."""
-    left = [F.lit(0.0)]
+    left = [F.lit(-1.0)]
     for own in FITTED:
         of = n[own].sum(0)
         class_counts = [sum((F.col(f"s{f * 2 + c}") for f in own), F.lit(0)) for c in (0, 1)]
         common = (class_counts[0] + class_counts[1] + 0.5) / float(of.sum() + 0.5 * size)
         for c in (0, 1):
             explained = common * float(max(of[c], 1.0))
-            left.append(class_counts[c] - explained - min(DISCOUNTS) * F.sqrt(explained))
+            left.append(F.when(class_counts[0] + class_counts[1] > 1, class_counts[c] - explained - min(DISCOUNTS) * F.sqrt(explained)).otherwise(-1.0))
     return counts.where(F.greatest(*left) > -1e-6)  # a little more than the exact sums, which decide
 
 
