@@ -31,6 +31,8 @@ from tidelog.llm.url_filter import build_level
 KEY_BITS, MOST_BITS = 32, 1 << 29
 #: Bytes of a window or of a document's result in a broadcast, about.
 WINDOW_BYTES, RESULT_BYTES = 200, 400
+#: Documents of a batch whose words are held at once.
+ROWS = 1_000
 #: Parts that a window's proposals are split into where windows are shuffled.
 SALTS = 8
 #: A word in the sense of ``words_of``, letters of both cases.
@@ -151,23 +153,24 @@ def proposals(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
     def make():
         def run(batch):
-            texts = [words_of(t) for t in raw(batch, "text")]
-            some = list(set(chain.from_iterable(texts)))
-            h = np.fromiter(map(hash_of, some), np.uint64, len(some))
-            fits: dict[bytes, list[tuple[int, int]]] = {}
-            for offset, length in shapes:
-                for i in np.flatnonzero(prefixes.value.has(shaped(h, offset, length))).tolist():
-                    fits.setdefault(some[i], []).append((offset, length))
             row, start, size, text = [], [], [], []
-            for r, words in enumerate(texts):
-                for i in [i for i, w in enumerate(words) if w in fits]:
-                    for offset, length in fits[words[i]]:
-                        first = i - offset
-                        if first >= 0 and first + length <= len(words):
-                            row.append(r)
-                            start.append(first)
-                            size.append(length)
-                            text.append(b" ".join(words[first : first + length]))
+            for at in range(0, batch.num_rows, ROWS):
+                texts = [words_of(t) for t in raw(batch.slice(at, ROWS), "text")]
+                some = list(set(chain.from_iterable(texts)))
+                h = np.fromiter(map(hash_of, some), np.uint64, len(some))
+                fits: dict[bytes, list[tuple[int, int]]] = {}
+                for offset, length in shapes:
+                    for i in np.flatnonzero(prefixes.value.has(shaped(h, offset, length))).tolist():
+                        fits.setdefault(some[i], []).append((offset, length))
+                for r, words in enumerate(texts, at):
+                    for i in [i for i, w in enumerate(words) if w in fits]:
+                        for offset, length in fits[words[i]]:
+                            first = i - offset
+                            if first >= 0 and first + length <= len(words):
+                                row.append(r)
+                                start.append(first)
+                                size.append(length)
+                                text.append(b" ".join(words[first : first + length]))
             on = np.flatnonzero(whole.value.has(np.fromiter(map(hash_of, text), np.uint64, len(text))))
             at = pa.array([row[i] for i in on.tolist()], pa.int64())
             return [*(batch.column(c).take(at) for c in KEY), [start[i] for i in on], [size[i] for i in on], [text[i] for i in on]]
