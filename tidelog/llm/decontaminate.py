@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import BROADCAST_BYTES, emit, raw, stash, without, words_of
+from tidelog.llm.common import BROADCAST_BYTES, attach, emit, raw, stash, without, words_of
 from tidelog.llm.url_filter import build_level
 
 #: Bits of a set: for each key, and at most.
@@ -35,8 +35,6 @@ WINDOW_BYTES, RESULT_BYTES = 200, 400
 ROWS = 1_000
 #: Parts that a window's proposals are split into where windows are shuffled.
 SALTS = 8
-#: A word in the sense of ``words_of``, letters of both cases.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 KEY = ["doc_id", "k1", "k2"]
 
 
@@ -221,7 +219,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, broadcast_by
     found = merged.join(names, same(merged, names)).select(*(merged[c] for c in KEY), "hit_spans", "items")
     found = stash(found.select(F.col("doc_id").alias("__doc"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "hit_spans", "items"), "leaks")
 
-    marked = base.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
+
+    def count():
+        return lambda batch: [[len(words_of(t)) for t in raw(batch, "text")]]
+
+    marked = attach(base, "text", [T.StructField("n_words", T.LongType())], count)
     k1 = F.xxhash64("text")
     match = F.col("doc_id").eqNullSafe(F.col("__doc")) & (k1 == F.col("__k1")) & (F.xxhash64(F.lit(1), "text") == F.col("__k2"))
     empty = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("hit_spans", "items")]
