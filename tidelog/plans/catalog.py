@@ -222,8 +222,19 @@ def session_eviction(spark, sf_dir):
     return sessions.oldest_clients(views.oplog(spark, sf_dir), capacity=5)
 
 
-@query()
+@query(
+    sql("oplog", recursive=True) + """,
+    ops AS (SELECT group_id, client_id, log_index, row_number() OVER (PARTITION BY group_id ORDER BY log_index) AS n FROM oplog WHERE client_id <> ''),
+    held AS (SELECT DISTINCT group_id, 0::BIGINT AS n, []::STRUCT(client VARCHAR, birth BIGINT)[] AS live, NULL::STRUCT(client VARCHAR, birth BIGINT) AS gone FROM ops
+        UNION ALL SELECT h.group_id, o.n,
+            CASE WHEN len(list_filter(h.live, lambda s: s.client = o.client_id)) > 0 THEN h.live
+                ELSE list_append(CASE WHEN len(h.live) >= 5 THEN h.live[2:] ELSE h.live END, {'client': o.client_id, 'birth': o.log_index}) END,
+            CASE WHEN len(list_filter(h.live, lambda s: s.client = o.client_id)) = 0 AND len(h.live) >= 5 THEN h.live[1] END
+        FROM held h JOIN ops o ON o.group_id = h.group_id AND o.n = h.n + 1)
+    SELECT group_id, gone.client AS client_id, gone.birth AS birth FROM held WHERE gone IS NOT NULL"""
+)
 def session_forgotten(spark, sf_dir):
+    """Evictions of a table of five sessions, those of clients that come back too."""
     return sessions.evicted(views.oplog(spark, sf_dir), capacity=5)
 
 
